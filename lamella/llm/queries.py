@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.llm.packing import pack
 
@@ -66,6 +72,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op5_warc": op5_warc,
