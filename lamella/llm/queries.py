@@ -36,6 +36,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents.select("doc_id", "held_out", "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.topk_search import top_k_search
+
+    return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.llm.storage import new_path
     from lamella.llm.warc import plan_records, read_warc, write_warc
@@ -71,13 +77,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_topk_search": op4_topk_search,
     "op5_warc": op5_warc,
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,
+    "op8_vector_dedup": op8_vector_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL expresses cheaply on whole tables.
