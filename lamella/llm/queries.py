@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The key of the surrogates. A deployment passes its own secret to replace_pii.
+PII_KEY = "documents-2024"
+#: Shares of the tokens by (quality, toxic) of the labels.
+MIX_TARGETS = {(1, 0): 0.7, (0, 0): 0.3, (1, 1): 0.0, (0, 1): 0.0}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +88,19 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.llm.mixing import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), MIX_TARGETS)
+    return mixed.select("doc_id", "tokens", "posterior", "rate", "copies")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
@@ -92,6 +110,8 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,
     "op8_vector_dedup": op8_vector_dedup,
+    "op9_pii": op9_pii,
+    "op10_mixing": op10_mixing,
 }
 
 #: DuckDB SQL for the queries that SQL expresses cheaply on whole tables.
