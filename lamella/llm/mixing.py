@@ -4,8 +4,8 @@ A classifier learned from a table of labels gives each document the probabilitie
 rates r >= 0 are then fitted so that the expected token totals of the domains, sum(r * tokens * p), match
 their targets, in least squares and near to rates of 1. The fit is projected gradient descent, scaled by
 the Gram matrix of the documents whose rates are positive. A rate follows from the probabilities of its
-document and the steps so far, a few numbers for each, so every step is one aggregation over all
-documents and nothing but those numbers ever leaves it.
+document and one number for each domain, so every step is one aggregation over all documents, and
+nothing but a few numbers ever leaves it.
 
 The classifier: words are hashed to features; a feature's weight for a domain is the log odds of its
 presence, where that differs from 0 by more than EVIDENCE standard errors. A softmax regression, fitted on
@@ -148,55 +148,58 @@ def predict(df: DataFrame, classifier: Classifier, text_col: str = "text") -> Da
     return known.mapInArrow(posteriors, schema)
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """Rates after the steps, from 1: each moves against its gradient and is projected to 0 or more."""
-    rate = F.lit(1.0)
-    for step in steps:
-        move = F.lit(0.0)
-        for i, x in enumerate(step):
-            move = move + F.get("posterior", F.lit(i)) * F.lit(x)
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+def _rate(pull: list[float]) -> Column:
+    """A document's rate: 1, moved against the pull of the domains by its probabilities, projected to 0 or more."""
+    move = F.lit(0.0)
+    for i, x in enumerate(pull):
+        move = move + F.get("posterior", F.lit(i)) * F.lit(x)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - move)
 
 
-def fit_rates(predicted: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Steps whose rates give each domain its share of the present token total, as near as rates of 0 or
-    more allow. A table without tokens needs no step.
+def fit_rates(predicted: DataFrame, targets: list[float], nearness: float = 1e-3) -> list[float]:
+    """The pull of each domain under which the rates minimise |domain shares - targets|^2 plus nearness
+    times the token-weighted mean of (rate - 1)^2, over all rates of 0 or more. No tokens, no pull.
+
+    Each step moves the rates along the gradient, scaled by the Gram matrix of the documents that are not
+    held at 0, and projects them; it is halved until the objective falls.
     """
     k = len(targets)
+    goal = np.array(targets)
     table = materialize(predicted.select(F.col("tokens").cast("double").alias("t"), "posterior").where("tokens > 0"), "posteriors")
     p = [F.get("posterior", F.lit(i)) for i in range(k)]
     total = table.agg(F.sum("t")).first()[0]
-    steps: list[list[float]] = []
-    best, best_steps, pace = np.inf, steps, 1.0
-    for _ in range(STEPS if total else 0):
-        rate = _rate(steps)
-        sums = [F.sum(F.col("t") * F.col("r") * x) / total for x in p]
-        gram = [F.sum(F.when(F.col("r") > 0, F.col("t") * p[i] * p[j]).otherwise(0.0)) / total for i in range(k) for j in range(i + 1)]
-        row = [float(x) for x in table.withColumn("r", rate).agg(*sums, *gram).first()]
-        error = np.array(row[:k]) - np.array(targets)
-        size = float(np.abs(error).max())
-        if size < best:
-            best, best_steps = size, steps
-        else:
-            pace, steps = pace / 2, best_steps
-            if pace < 1 / 64:
-                break
-            last[:] = [round(x / 2, 12) for x in last]
-            steps = [*best_steps, last]
-            continue
-        if size < CLOSE:
-            break
-        matrix = np.zeros((k, k))
-        lower = iter(row[k:])
+
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Objective of the pull (the dual one), its gradient, and the Gram matrix."""
+        w, r = F.col("t") / total, F.col("r")
+        sums = [F.sum(w * r * x) for x in p]
+        gram = [F.sum(F.when(r > 0, w * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i + 1)]
+        row = [float(x) for x in table.withColumn("r", _rate(pull.tolist())).agg(F.sum(w * r * r), *sums, *gram).first()]
+        matrix, lower = np.zeros((k, k)), iter(row[k + 1 :])
         for i in range(k):
             for j in range(i + 1):
                 matrix[i, j] = matrix[j, i] = next(lower)
-        last = [round(float(x), 12) for x in np.linalg.lstsq(matrix + 1e-6 * np.eye(k), error, rcond=None)[0]]
-        pace = 1.0
-        steps = [*steps, last]
+        return row[0] / 2 + goal @ pull + nearness / 2 * pull @ pull, goal + nearness * pull - np.array(row[1 : k + 1]), matrix
+
+    pull = np.zeros(k)
+    if total:
+        value, gradient, gram = look(pull)
+        for _ in range(STEPS):
+            step = -np.linalg.solve(gram + nearness * np.eye(k), gradient)
+            if np.abs(gradient).max() < CLOSE:
+                break
+            pace = 1.0
+            while pace > 1e-3:
+                found = np.round(pull + pace * step, 12)
+                seen = look(found)
+                if seen[0] <= value + 1e-4 * pace * (gradient @ step):
+                    break
+                pace /= 2
+            else:
+                break
+            pull, (value, gradient, gram) = found, seen
     release_table(table)
-    return best_steps
+    return pull.tolist()
 
 
 def mix_sources(df: DataFrame, labels: DataFrame, targets: dict[tuple, float], label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20000, seed: int = 1) -> DataFrame:
@@ -216,7 +219,7 @@ def mix_sources(df: DataFrame, labels: DataFrame, targets: dict[tuple, float], l
     left = max(0.0, 1 - sum(w for w in wanted if w is not None))
     open_share = sum(p for w, p in zip(wanted, classifier.prior, strict=True) if w is None)
     shares = [left * p / open_share if w is None else w for w, p in zip(wanted, classifier.prior, strict=True)]
-    steps = fit_rates(predicted, [s / sum(shares) for s in shares]) if sum(shares) > 0 and len(shares) > 1 else []
+    pull = fit_rates(predicted, [s / sum(shares) for s in shares]) if sum(shares) > 0 and len(shares) > 1 else []
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    rated = predicted.withColumn("rate", _rate(steps))
+    rated = predicted.withColumn("rate", _rate(pull))
     return rated.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
