@@ -88,9 +88,11 @@ class Parser:
             table = np.full((len(moves), self.width), -1, np.int32)
             for state, out in enumerate(moves):
                 table[state, list(out)] = list(out.values())
-            start = np.where(table[0] < 0, 0, table[0])
-            table = np.where(table < 0, start * 2 + 1, table * 2).astype(np.int32)
-            table[:, -1] = np.arange(len(moves), dtype=np.int32) * 2
+            # one state more, the last: no phrase is open; an odd entry begins a phrase
+            table = np.vstack([table, np.full((1, self.width), -1, np.int32)])
+            begin = np.where(table[0] < 0, len(moves), table[0])
+            table = np.where(table < 0, begin * 2 + 1, table * 2).astype(np.int32)
+            table[:, -1] = np.arange(len(table), dtype=np.int32) * 2
             self.languages.append(language)
             self.tables.append(table.ravel())
             self.bits.append(math.log2(len(sequence) + 1))
@@ -110,13 +112,13 @@ class Parser:
         """Phrases that each language needs for each column of chunks."""
         out = np.empty((len(self.tables), chunks.shape[1]), np.int64)
         for k, table in enumerate(self.tables):
-            state = np.zeros(chunks.shape[1], np.int32)
-            ends = np.zeros(chunks.shape[1], np.int32)
+            state = np.full(chunks.shape[1], len(table) // self.width - 1, np.int32)
+            phrases = np.zeros(chunks.shape[1], np.int32)
             for row in chunks:
                 step = table[state * self.width + row]
-                ends += step & 1
+                phrases += step & 1
                 state = step >> 1
-            out[k] = ends + 1
+            out[k] = phrases
         return out
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
