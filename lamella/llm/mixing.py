@@ -8,7 +8,7 @@ document and one number for each domain, so every step is one aggregation over a
 nothing but a few numbers ever leaves it.
 
 The classifier: words are hashed to features; a feature's weight for a domain is the log odds of its
-presence, where that differs from 0 by more than EVIDENCE standard errors. A softmax regression, fitted on
+presence, where the domain and the rest differ in it by more than EVIDENCE standard errors. A softmax regression, fitted on
 the other half of the labelled sample, turns the sums of weights into probabilities.
 """
 
@@ -116,7 +116,9 @@ def learn(df: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
     sizes = np.bincount(y[first], minlength=k).astype(float)
     rest, others = present.sum(1, keepdims=True) - present, sizes.sum() - sizes
     weights = np.log((present + 0.5) / (sizes + 1)) - np.log((rest + 0.5) / (others + 1))
-    weights[np.abs(weights) < EVIDENCE * np.sqrt(1 / (present + 0.5) + 1 / (rest + 0.5))] = 0
+    share = (present + rest) / max(sizes.sum(), 1)
+    differ = np.abs(present / np.maximum(sizes, 1) - rest / np.maximum(others, 1))
+    weights[differ <= EVIDENCE * np.sqrt(share * (1 - share) * (1 / np.maximum(sizes, 1) + 1 / np.maximum(others, 1)))] = 0
     second = ~first if len(rows) >= 40 else first
     sums = np.array([weights[f].sum(0) for f, s in zip(lists, second, strict=True) if s]).reshape(-1, k)
     scale, bias = _softmax_regression(sums, y[second], k)
