@@ -187,5 +187,6 @@ def read_warc(spark: SparkSession, folder_uri: str, payloads: bool = True) -> Da
                             rows, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names=names)
 
-    files = spark.read.schema(MANIFEST).parquet(f"{folder_uri}/_manifest").select("file", "bytes")
-    return files.repartition("file").select("file").mapInArrow(read, RECORDS)
+    files = spark.read.schema(MANIFEST).parquet(f"{folder_uri}/_manifest").select("file")
+    # a number of partitions that is stated stays; small rows of names would else meet in one task
+    return files.repartition(max(1, files.count())).mapInArrow(read, RECORDS)
