@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.llm.oracle import ORACLE_SQL as ORACLE_SQL
+
 #: The key of the surrogates. A deployment passes its own secret to replace_pii.
 PII_KEY = "documents-2024"
 #: Shares of the tokens by (quality, toxic) of the labels.
@@ -113,6 +115,3 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
-
-#: DuckDB SQL for the queries that SQL expresses cheaply on whole tables.
-ORACLE_SQL: dict[str, str] = {}
