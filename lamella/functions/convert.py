@@ -87,7 +87,7 @@ def is_exact_decimal(x: Column, precision: int, scale: int) -> Column:
 
 def decimal_to_bytes(x: Column, scale: int, length: int = 16) -> Column:
     """Big-endian two's complement of the unscaled number, in length bytes (16 at most)."""
-    whole = (x * F.lit("1" + "0" * scale).cast("decimal(38,0)")).cast("decimal(38,0)")
+    whole = F.replace(x.cast(f"decimal(38,{scale})").cast("string"), F.lit("."), F.lit("")).cast("decimal(38,0)")
     high = F.floor(whole / F.lit(TWO_64).cast("decimal(20,0)")).cast("decimal(38,0)")
     # the quotient of decimals is rounded: put right what it got wrong by one
     high = F.when(high * F.lit(TWO_64).cast("decimal(20,0)") > whole, high - 1).otherwise(high)
@@ -104,7 +104,9 @@ def bytes_to_decimal(b: Column, precision: int, scale: int) -> Column:
     high = F.conv(F.substring(filled, 1, 16), 16, -10).cast("decimal(20,0)")
     low = F.conv(F.substring(filled, 17, 16), 16, 10).cast("decimal(20,0)")
     whole = (high * F.lit(TWO_64).cast("decimal(20,0)")).cast("decimal(38,0)") + low
-    return (whole.cast("decimal(38,0)") * F.lit("0." + "0" * (scale - 1) + "1" if scale else "1").cast(f"decimal({max(scale, 1)},{scale})")).cast(f"decimal({precision},{scale})")
+    digits = F.lpad(F.abs(whole).cast("string"), 39, "0")
+    sign = F.when(whole < 0, "-").otherwise("")
+    return F.concat(sign, F.substring(digits, 1, 39 - scale), F.lit("."), F.substring(digits, 40 - scale, scale)).cast(f"decimal({precision},{scale})")
 
 
 def unsigned_32(x: Column) -> Column:

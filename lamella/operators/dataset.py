@@ -33,8 +33,13 @@ def write_dataset(df: DataFrame, path: str, route: Column, order: tuple[str, ...
     text = route.cast("string")
     checked = F.when(text.isNull() | (text == ""), F.raise_error(F.lit("a row has no route")).cast("string")).otherwise(text)
     routed = df.withColumn(part, checked)
-    spread_by = [F.col(part), F.pmod(F.xxhash64(*order) if order else F.xxhash64(*(c for c in df.columns if not c.startswith("__"))), F.lit(spread))] if spread > 1 else [F.col(part)]
-    placed = routed.repartition(*spread_by).sortWithinPartitions(part, *order)
+    if spread > 1:
+        salt = F.pmod(F.xxhash64(*(order or df.columns)), F.lit(spread))
+        # a stated number keeps adaptive execution from putting the parts together again
+        placed = routed.repartition(max(spread, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.col(part), salt)
+    else:
+        placed = routed.repartition(F.col(part))
+    placed = placed.sortWithinPartitions(part, *order)
     limit = max_rows or rows_in(df, target_bytes)
     writer(placed, options).option("maxRecordsPerFile", limit).mode(mode).partitionBy(part).parquet(path)
 

@@ -40,6 +40,8 @@ class WriteOptions:
             raise UnsupportedError(f"the writer decides on dictionaries itself: {self.dictionary!r}")
         if self.page_version not in (1, 2):
             raise ContractError("WRITE003", f"no page version {self.page_version}")
+        if self.page_version == 2 and self.codec == "none":
+            raise UnsupportedError("Spark's vectorized reader misreads text in uncompressed pages of version 2")
         if min(self.row_group_bytes, self.page_bytes, self.page_rows or 1) <= 0:
             raise ContractError("WRITE004", "sizes are positive")
 

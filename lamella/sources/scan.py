@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lamella.errors import ContractError
 from lamella.plans.contract import Column, Contract
 from lamella.plans.evolution import MISSING, Evolution, check_strict, missing_rows
-from lamella.sources.relations import leaf_columns
+from lamella.sources.relations import leaf_columns, relation
 
 #: More distinct schemas among the files of one scan than this are refused, rather than gathered.
 SCHEMAS = 1000
@@ -83,6 +83,16 @@ def scan(spark: SparkSession, wanted: Contract, *paths: str, projection: list[st
     return df.select(*filled)
 
 
+def needs_row_reader(spark: SparkSession, *paths: str) -> bool:
+    """Whether some file holds what Spark's vectorized reader refuses (BYTE_STREAM_SPLIT) or misreads (text
+    in uncompressed delta encodings). Read such files with spark.sql.parquet.enableVectorizedReader=false.
+    """
+    chunks = relation(spark, "column_chunks", *paths)
+    has = lambda e: F.array_contains("encodings", e)
+    delta = (F.col("codec") == "UNCOMPRESSED") & (has("DELTA_BYTE_ARRAY") | has("DELTA_LENGTH_BYTE_ARRAY"))
+    return not chunks.where(has("BYTE_STREAM_SPLIT") | delta).isEmpty()
+
+
 def with_positions(df: DataFrame) -> DataFrame:
     """df of a file scan with file_path, as the metadata relations name files, and row_index: they order
     and identify its rows.
