@@ -31,7 +31,10 @@ from lamella.llm.shingles import set_key, shingle_sets
 from lamella.llm.storage import materialize, release_table
 
 GRAM_BYTES = 7
-BUCKET_GRAMS = 1 << 22
+#: Shingles that a task sorts at once, and those that it packs at once. Larger ones need more memory, in
+#: each Python worker about 60 bytes a shingle, and give fewer, larger rows to shuffle.
+BUCKET_GRAMS = 1 << 20
+PACKED_GRAMS = 1 << 20
 BLOCK_ROWS = 2048
 HUBS = 64
 DENSE = 48
@@ -125,7 +128,7 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> Dat
                         seen.add(key)
                         held.append((key, s))
                         total += len(s)
-                if total > 1 << 22:
+                if total > PACKED_GRAMS:
                     yield flush()
                     held, total = [], 0
         yield flush()
@@ -176,10 +179,10 @@ def _shared_grams(packed: DataFrame, buckets: int) -> DataFrame:
                 column.append(value)
         return pa.Table.from_batches([_rows(names, [pa.int32(), *[pa.binary()] * 5], out)])
 
-    return packed.groupBy("bucket").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, grams binary, classes_with binary")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, grams binary, classes_with binary")
 
 
-def _candidate_sets(shared: DataFrame, percent: int) -> DataFrame:
+def _candidate_sets(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
     """class, n, grams (its shared shingles) and prefix (the rarest of them) of classes that may have links."""
     names = ["class", "n", "grams", "prefix"]
 
@@ -199,7 +202,7 @@ def _candidate_sets(shared: DataFrame, percent: int) -> DataFrame:
                     column.append(value)
         return pa.Table.from_batches([_rows(names, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)])
 
-    return shared.groupBy("bucket").applyInArrow(sets, "class long, n long, grams binary, prefix binary")
+    return shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(sets, "class long, n long, grams binary, prefix binary")
 
 
 def _candidate_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -329,7 +332,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_GRAMS))
     shared = _shared_grams(_packed_grams(df, text_col, width, buckets), buckets)
-    sets = materialize(_candidate_sets(shared, percent), "candidates")
+    sets = materialize(_candidate_sets(shared, percent, buckets), "candidates")
     groups = connected_components(_candidate_links(sets, percent))
     labels = connected_components(_links(sets, groups, percent))
     release_table(sets)
