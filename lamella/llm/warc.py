@@ -98,8 +98,13 @@ class _File:
         self.records += 1
 
     def commit(self) -> tuple:
+        from pyarrow.fs import FileType
+
         self.stream.close()
-        self.fs.move(self.temporary, f"{self.folder}/{self.name}")
+        final = f"{self.folder}/{self.name}"
+        if self.fs.get_file_info(final).type != FileType.NotFound:  # of an attempt that was lost; some stores don't rename over it
+            self.fs.delete_file(final)
+        self.fs.move(self.temporary, final)
         return self.name, self.records, self.bytes, self.sha1.hexdigest(), self.first, self.last
 
 

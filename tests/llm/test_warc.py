@@ -62,3 +62,14 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert write_warc(plan_records(df), folder).count() == 0
     assert read_warc(spark, folder).count() == 0
+
+
+def test_a_lost_attempt_is_replaced(spark):
+    folder = new_path(spark, "warc-lost")
+    fs, path = filesystem(folder)
+    fs.create_dir(path)
+    with fs.open_output_stream(f"{path}/pages-000000-0000.warc.gz") as stream:
+        stream.write(b"half a file")
+    df = spark.createDataFrame([(1, "http://a", "x")], "page_id long, url string, html string")
+    assert write_warc(plan_records(df), folder).count() == 1
+    assert [r.page_id for r in read_warc(spark, folder).collect()] == [1]
