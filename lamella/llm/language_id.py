@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.llm.memory import give_back, text_runs
+
 CHUNK = 256
-SIDE_BY_SIDE = 1 << 14
+SIDE_BY_SIDE = 1 << 13
 CLASSES = 96
 UNDETERMINED = "und"
 
@@ -209,21 +211,23 @@ def identify(df: DataFrame, samples: Samples, text_col: str = "text") -> DataFra
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = parser(shared.value) if shared.value.texts else None
-        for batch in batches:
-            n = batch.num_rows
-            names, score, bits = [UNDETERMINED] * n, np.zeros(n), [None] * n
-            if learned:
-                costs, ok = learned.costs(batch.column(index).to_pylist())
-                order = np.argsort(costs, 0, "stable")
-                best = costs[order[0], np.arange(n)]
-                second = costs[order[min(1, len(costs) - 1)], np.arange(n)]
-                names = [learned.languages[k] if y else UNDETERMINED for k, y in zip(order[0], ok, strict=True)]
-                score = np.where(ok, 1 - best / np.maximum(second, 1e-9) if len(costs) > 1 else 1.0, 0.0)
-                bits = [float(b) if y else None for b, y in zip(best, ok, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
-                schema=pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())]),
-            )
+        for whole in batches:
+            for start, end, texts in text_runs(whole.column(index), SIDE_BY_SIDE * CHUNK):
+                batch, n = whole.slice(start, end - start), end - start
+                names, score, bits = [UNDETERMINED] * n, np.zeros(n), [None] * n
+                if learned:
+                    costs, ok = learned.costs(texts)
+                    order = np.argsort(costs, 0, "stable")
+                    best = costs[order[0], np.arange(n)]
+                    second = costs[order[min(1, len(costs) - 1)], np.arange(n)]
+                    names = [learned.languages[k] if y else UNDETERMINED for k, y in zip(order[0], ok, strict=True)]
+                    score = np.where(ok, 1 - best / np.maximum(second, 1e-9) if len(costs) > 1 else 1.0, 0.0)
+                    bits = [float(b) if y else None for b, y in zip(best, ok, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
+                    schema=pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())]),
+                )
+        give_back()
 
     schema = T.StructType(list(known.schema.fields)).add("lang_pred", "string").add("score", "double").add("bits", "double")
     return known.mapInArrow(predict, schema)

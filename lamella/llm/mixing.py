@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.llm.ngram_join import _some
+from lamella.llm.memory import give_back, text_runs
 from lamella.llm.shingles import words_of
 from lamella.llm.storage import materialize, release_table
 
@@ -89,9 +89,8 @@ def learn(df: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _some(texts):
-                owner, found, _ = features_of(texts[a:b])
+            for a, b, texts in text_runs(batch.column("text")):
+                owner, found, _ = features_of(texts)
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
                 packed = [found[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c)[a:b].cast(pa.int64()) for c in label_cols], batch.column("half")[a:b].cast(pa.int32()), pa.array(packed, pa.binary())], names=[*label_cols, "half", "features"])
@@ -136,15 +135,15 @@ def predict(df: DataFrame, classifier: Classifier, text_col: str = "text") -> Da
         learned = shared.value
         k = len(learned.domains)
         for batch in batches:
-            texts = batch.column(index).to_pylist()
-            for a, b in _some(texts):
-                owner, found, words = features_of(texts[a:b])
+            for a, b, texts in text_runs(batch.column(index)):
+                owner, found, words = features_of(texts)
                 weights = learned.weights[found]
                 sums = np.stack([np.bincount(owner, weights[:, i], b - a) for i in range(k)], 1)
                 p = np.where(words[:, None] > 0, learned.probabilities(sums), learned.prior)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * k, k, dtype=np.int32)), pa.array(p.ravel()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words), lists], names=[*part.schema.names, "tokens", "posterior"])
+        give_back()
 
     schema = T.StructType(list(known.schema.fields)).add("tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
     return known.mapInArrow(posteriors, schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.components import Forest, connected_components
+from lamella.llm.memory import give_back, text_runs
 from lamella.llm.shingles import set_key, shingle_sets
 from lamella.llm.storage import materialize, release_table
 
@@ -38,19 +39,6 @@ PACKED_GRAMS = 1 << 20
 BLOCK_ROWS = 2048
 HUBS = 64
 DENSE = 48
-TEXTS_AT_ONCE = 1 << 21
-
-
-def _some(texts: list, most: int = TEXTS_AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of texts of about `most` characters."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held > most:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
 
 
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
@@ -85,10 +73,10 @@ def set_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _some(texts):
-                sets = shingle_sets(texts[a:b], width)
+            for a, b, texts in text_runs(batch.column(1)):
+                sets = shingle_sets(texts, width)
                 yield _rows(["id", "n_shingles", "class"], [pa.int64(), pa.int64(), pa.int64()], [batch.column(0)[a:b].cast(pa.int64()), [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets]])
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(keys, "id long, n_shingles long, class long")
 
@@ -121,9 +109,8 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> Dat
             return _rows(names, [pa.int32(), *[pa.binary()] * 4], out)
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _some(texts):
-                for s in shingle_sets(texts[a:b], width):
+            for _, _, texts in text_runs(batch.column(0)):
+                for s in shingle_sets(texts, width):
                     if len(s) and (key := set_key(s)) not in seen:
                         seen.add(key)
                         held.append((key, s))
@@ -132,6 +119,7 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> Dat
                     yield flush()
                     held, total = [], 0
         yield flush()
+        give_back()
 
     return df.select(text_col).mapInArrow(packed, "bucket int, classes binary, sizes binary, counts binary, grams binary")
 
@@ -145,6 +133,7 @@ def _shared_grams(packed: DataFrame, buckets: int) -> DataFrame:
     names = ["bucket", "classes", "sizes", "counts", "grams", "classes_with"]
 
     def shared(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         classes, sizes, counts = _unpack(table, {"classes": "<i8", "sizes": "<u4", "counts": "<u4"})
         raw = b"".join(table.column("grams").to_pylist())
         grams = np.zeros((len(raw) // GRAM_BYTES, 8), np.uint8)
@@ -187,6 +176,7 @@ def _candidate_sets(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
     names = ["class", "n", "grams", "prefix"]
 
     def sets(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         classes, sizes, counts, grams, with_ = _unpack(table, {"classes": "<i8", "sizes": "<u4", "counts": "<u4", "grams": "<u8", "classes_with": "<u4"})
         owner = np.repeat(classes, counts)
         size = np.repeat(sizes, counts)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.memory import give_back
 from lamella.llm.storage import materialize
 
 #: Specials of the byte-level vocabulary are recognised inside texts by the tokenizer's default.
@@ -183,6 +184,7 @@ def pack(
             done, tail = packer.finish()
             yield _batch([((part << 32) + number + i, s) for i, s in enumerate(done)], None, doc_kind)
             yield _batch([(0, tail)], part, doc_kind)
+        give_back()
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         packer, rows = Packer(size, 1), table.sort_by([("tail_of", "ascending"), ("offset", "ascending")]).to_pylist()
