@@ -165,9 +165,8 @@ def entities_of(match: Column, kind: Column) -> Column:
     return F.when(kind.isNull(), F.array().cast("array<struct<type:string,norm:string>>")).when(kind.startswith("name_"), F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(entity(kind, norm)))
 
 
-def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate of a normal form, itself in normal form."""
-    h = _digest(key, kind, norm, attempt)
+def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column, h: Column) -> Column:
+    """The surrogate of a normal form, itself in normal form; h is the digest of all three."""
     digits = _digits(h)
     ten = F.concat((F.pmod(_number(h, 1, 6), F.lit(8)) + 2).cast("string"), F.substring(digits, 8, 2), (F.pmod(_number(h, 20, 6), F.lit(8)) + 2).cast("string"), F.substring(digits, 30, 6))
     card = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(1), F.length(norm) - 2))
@@ -193,24 +192,31 @@ def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column) -> Col
     return out
 
 
-def _surrogate(key: str, match: Column, attempt_of) -> Column:
-    """The text that replaces a match; attempt_of gives the attempt of an entity."""
-    kind = kind_of(match)
-    found = entities_of(match, kind)
-    norms = F.transform(found, lambda e: surrogate_norm(key, e["type"], e["norm"], attempt_of(e)))
+def _surrogate(match: Column, kind: Column, norms: Column) -> Column:
+    """The text that replaces a match of entities whose surrogates are norms."""
     first = F.get(norms, F.lit(0))
-    address = F.regexp_extract(match, r"^(\S+ )", 1)
-    ip_or_key = first
+    digits = _only_digits(match)
     return (
         F.when(kind.isNull(), match)
         .when(kind == "secret", F.concat(_secret_parts(match)[0], first))
-        .when(kind == "phone", _refill(match, F.concat(F.substring(_only_digits(match), F.lit(1), F.length(_only_digits(match)) - F.length(first)), first)))
+        .when(kind == "phone", _refill(match, F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(first)), first)))
         .when(kind.isin("card", "ssn"), _refill(match, first))
-        .when(kind.startswith("name_"), F.concat(address, F.array_join(norms, " ")))
-        .otherwise(ip_or_key)
+        .when(kind.startswith("name_"), F.concat(F.regexp_extract(match, r"^(\S+ )", 1), F.array_join(norms, " ")))
+        .otherwise(first)
     )
 
 
+def _replaced(key: str, matches: Column, attempt_of) -> Column:
+    """Array of (kind, text) for the matches of a text. Each step stores what later ones use several times."""
+    kinds = F.transform(matches, lambda m: F.struct(m.alias("match"), kind_of(m).alias("kind")))
+    found = F.transform(kinds, lambda x: F.struct(x["match"].alias("match"), x["kind"].alias("kind"), entities_of(x["match"], x["kind"]).alias("found")))
+    tried = lambda x: F.transform(x["found"], lambda e: F.struct(e["type"].alias("type"), e["norm"].alias("norm"), attempt_of(e).alias("attempt")))
+    keyed = lambda x: F.transform(tried(x), lambda e: F.struct(e["type"].alias("type"), e["norm"].alias("norm"), e["attempt"].alias("attempt"), _digest(key, e["type"], e["norm"], e["attempt"]).alias("h")))
+    norms = lambda x: F.transform(keyed(x), lambda e: surrogate_norm(key, e["type"], e["norm"], e["attempt"], e["h"]))
+    named = F.transform(found, lambda x: F.struct(x["match"].alias("match"), x["kind"].alias("kind"), norms(x).alias("norms")))
+    return F.transform(named, lambda x: F.struct(x["kind"].alias("kind"), _surrogate(x["match"], x["kind"], x["norms"]).alias("text")))
+
+
 def _matches(text: Column) -> Column:
     return F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
@@ -221,8 +227,9 @@ def entity_table(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """
     found = df.where(F.col(text_col).isNotNull()).select(F.explode(_matches(F.col(text_col))).alias("match")).withColumn("kind", kind_of(F.col("match"))).where("kind is not null")
     distinct = found.select(F.explode(entities_of(F.col("match"), F.col("kind"))).alias("e")).select("e.*").distinct()
-    attempt = F.lit(0)
-    named = materialize(distinct.select("type", "norm", attempt.alias("attempt"), surrogate_norm(key, F.col("type"), F.col("norm"), attempt).alias("surrogate")), "entities")
+    columns = [F.col(c) for c in ("type", "norm", "attempt", "h")]
+    chosen = lambda rows: rows.withColumn("h", _digest(key, *columns[:3])).withColumn("surrogate", surrogate_norm(key, *columns)).drop("h")
+    named = materialize(chosen(distinct.withColumn("attempt", F.lit(0))), "entities")
     for _ in range(ROUNDS):
         # of entities with one surrogate the one with the least attempt keeps it: earlier choices stay
         shared = named.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("keeps"), F.count("*").alias("n")).where("n > 1").select("type", "surrogate", F.col("keeps.norm").alias("keeper"))
@@ -232,8 +239,8 @@ def entity_table(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         if taken.isEmpty():
             return named
         lost = F.col("real").isNotNull() & ((F.col("real") > 0) | (F.col("norm") != F.col("keeper")))
-        moved = named.join(taken, ["type", "surrogate"], "left").withColumn("attempt", F.when(lost, F.col("attempt") + 1).otherwise(F.col("attempt")))
-        named = materialize(moved.select("type", "norm", "attempt", F.when(lost, surrogate_norm(key, F.col("type"), F.col("norm"), F.col("attempt"))).otherwise(F.col("surrogate")).alias("surrogate")), "entities")
+        next_attempt = F.when(lost, F.col("attempt") + 1).otherwise(F.col("attempt"))
+        named = materialize(chosen(named.join(taken, ["type", "surrogate"], "left").select("type", "norm", next_attempt.alias("attempt"))), "entities")
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
@@ -261,10 +268,8 @@ def replace_pii(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
         by_doc = materialize(mentions.join(exceptions, "name").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(joined)), "attempts")
         rows = df.join(by_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
         attempt_of = lambda e: F.coalesce(F.col(joined)[F.concat(e["type"], F.lit("|"), e["norm"])], F.lit(0))
-    matches = "__matches"
-    rows = rows.withColumn(matches, _matches(text))
-    replaced = F.transform(matches, lambda m: _surrogate(key, m, attempt_of))
-    gaps = F.split(text, ANY)
-    whole = _join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(replaced, i), F.lit("")))))
-    counted = F.size(F.filter(matches, lambda m: kind_of(m).isNotNull())).cast("long")
-    return rows.drop("n_entities").withColumn("n_entities", counted).withColumn(text_col, F.when(F.size(matches) == 0, text).otherwise(whole)).drop(matches, joined)
+    replaced = "__replaced"
+    rows = rows.withColumn(replaced, _replaced(key, _matches(text), attempt_of))
+    whole = _join(F.transform(F.split(text, ANY), lambda g, i: F.concat(g, F.coalesce(F.get(replaced, i)["text"], F.lit("")))))
+    counted = F.size(F.filter(replaced, lambda x: x["kind"].isNotNull())).cast("long")
+    return rows.drop("n_entities").withColumn("n_entities", counted).withColumn(text_col, F.when(F.size(replaced) == 0, text).otherwise(whole)).drop(replaced, joined)
