@@ -61,12 +61,21 @@ PATTERNS = {
     "ssn": r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w.+(\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d){8,12}(?![\w\-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
+    "card": r"(?<![\w.\-])\d(?:(?:[ \-](?!\d{1,3}\.\d))?\d){12,18}(?![\w\-])",
     "name": rf"(?<!\p{{L}})(?:{_ADDRESSES})\.? {_NAME}(?: {_NAME})?",
 }
 #: All of them in one. What all demand of a place, and the first letters of each, is looked at first.
 _FIRST = {"secret": "[pPsStTaA]", "email": "[A-Za-z0-9._%+\\-]", "key": "A", "ssn": "[0-9]", "phone": "[0-9(+]", "ip": "[0-9]", "card": "[0-9]", "name": "[" + "".join(sorted({x[0] for v in ADDRESS.values() for x in v.split("|")})) + "]"}
-ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?={_FIRST[kind]})(?:{p})" for kind, p in PATTERNS.items()) + ")"
+_PARTS = {kind: f"(?={_FIRST[kind]})(?:{p})" for kind, p in PATTERNS.items()}
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(_PARTS.values()) + ")"
+#: ANY without cards, in two parts: what goes before them and what after. Cards are put between for each text that has RUN.
+_BEFORE_CARDS = "(?<![A-Za-z0-9])(?:" + "|".join(p for kind, p in _PARTS.items() if kind not in ("card", "name"))
+_AFTER_CARDS = f"|{_PARTS['name']})"
+#: Groups of digits with single spaces or dashes between; a short group before a point is of another number.
+_GROUP = r"(?!\d{1,3}\.\d)\d++(?![A-Za-z_])"
+RUN = rf"(?<![\w.\-])(?=\d(?:[ \-]?\d){{12}}){_GROUP}(?:[ \-]{_GROUP})*(?![\w\-])"
+#: The groupings in which cards are written, the longer first. A valid one counts wherever it is in a run.
+GROUPINGS = (r"\d{13,19}", r"\d{4}(?:[ \-]\d{4}){3}[ \-]\d{3}", r"\d{4}(?:[ \-]\d{4}){3}", r"\d{4}[ \-]\d{6}[ \-]\d{5}", r"\d{4}[ \-]\d{6}[ \-]\d{4}")
 
 
 def _digest(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -114,6 +123,11 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(-_luhn_sum(digits), F.lit(10)).cast("string")
 
 
+def _is_valid(number: Column) -> Column:
+    digits = _only_digits(number)
+    return F.substring(digits, F.length(digits), F.lit(1)) == _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
+
+
 def _reshape(text: Column, digest: Column) -> Column:
     """Letters to letters of the same case, digits to digits, the rest in place."""
     letters, digits = _letters(digest), _digits(digest)
@@ -132,9 +146,7 @@ def kind_of(match: Column) -> Column:
     for kind, pattern in PATTERNS.items():
         whole = match.rlike(f"^(?:{pattern})$")
         if kind == "card":
-            digits = _only_digits(match)
-            valid = F.substring(digits, F.length(digits), F.lit(1)) == _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
-            out = out.when(whole, F.when(valid, "card"))
+            out = out.when(whole, F.when(_is_valid(match), "card"))
         elif kind == "name":
             for (script, gender), address in ADDRESS.items():
                 out = out.when(match.rlike(rf"^(?:{address})\.? "), f"name_{script}_{gender}")
@@ -217,15 +229,45 @@ def _replaced(key: str, matches: Column, attempt_of) -> Column:
     return F.transform(named, lambda x: F.struct(x["kind"].alias("kind"), _surrogate(x["match"], x["kind"], x["norms"]).alias("text")))
 
 
-def _matches(text: Column) -> Column:
-    return F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _one_of(cards: Column) -> Column:
+    """A pattern of these cards; null if there are none."""
+    return F.when(F.size(cards) > 0, F.concat(F.lit(r"(?:(?<![\w.\-])|(?<=\d-))(?:"), F.array_join(cards, "|"), F.lit(r")(?!\w|-(?!\d))")))
+
+
+def _cards(text: Column) -> Column:
+    """A pattern in place of ANY that knows the valid cards of text; null if it has no run of so many digits.
+
+    Numbers beside a card are no part of it: valid cards in one of GROUPINGS come first. A run between them
+    whose digits are grouped in another way is a card if it is valid as a whole. Runs that are no cards are
+    not passed over, so what else is in them is found.
+    """
+    written = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda run: F.concat(*(F.regexp_extract_all(run, F.lit(rf"(?<!\d)(?=({g})(?!\d))"), F.lit(1)) for g in GROUPINGS))))
+    grouped = F.array_distinct(F.filter(written, _is_valid))
+
+    def with_others(cards: Column) -> Column:
+        known = _one_of(cards)
+        stop = F.coalesce(F.concat(F.lit("(?!"), known, F.lit(")")), F.lit(""))
+        run = F.concat(F.lit(r"(?<![\w.\-])\d(?:(?:[ \-](?!\d{1,3}\.\d)"), stop, F.lit(r")?\d){12,18}(?![\w\-])"))
+        found = F.regexp_extract_all(text, F.concat(F.lit(_BEFORE_CARDS), F.coalesce(F.concat(F.lit("|"), known), F.lit("")), F.lit("|"), run, F.lit(_AFTER_CARDS)), F.lit(0))
+        return F.array_distinct(F.concat(cards, F.filter(found, lambda m: F.coalesce(kind_of(m) == "card", F.lit(False)))))
+
+    # a lambda each, so that what is found once is not computed again where it is used
+    every = F.flatten(F.transform(F.array(grouped), with_others))
+    pattern = F.get(F.transform(F.array(every), lambda cards: F.concat(F.lit(_BEFORE_CARDS), F.coalesce(F.concat(F.lit("|"), _one_of(cards)), F.lit("")), F.lit(_AFTER_CARDS))), F.lit(0))
+    return F.when(text.rlike(RUN), pattern)
+
+
+def _matches(text: Column, cards: Column) -> Column:
+    found = F.when(cards.isNull(), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, cards, F.lit(0)))
+    return F.when(text.rlike(ANY), found).otherwise(F.array().cast("array<string>"))
 
 
 def entity_table(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """type, norm, surrogate, attempt of each distinct entity; surrogates of a type are distinct and differ
     from all entities of the type. A table in the shared folder.
     """
-    found = df.where(F.col(text_col).isNotNull()).select(F.explode(_matches(F.col(text_col))).alias("match")).withColumn("kind", kind_of(F.col("match"))).where("kind is not null")
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), _cards(F.col(text_col)).alias("cards"))
+    found = texts.select(F.explode(_matches(F.col("text"), F.col("cards"))).alias("match")).withColumn("kind", kind_of(F.col("match"))).where("kind is not null")
     distinct = found.select(F.explode(entities_of(F.col("match"), F.col("kind"))).alias("e")).select("e.*").distinct()
     columns = [F.col(c) for c in ("type", "norm", "attempt", "h")]
     chosen = lambda rows: rows.withColumn("h", _digest(key, *columns[:3])).withColumn("surrogate", surrogate_norm(key, *columns)).drop("h")
@@ -254,7 +296,7 @@ def replace_pii(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     exceptions = entity_table(df, key, text_col).where("attempt > 0").select(F.concat("type", F.lit("|"), "norm").alias("name"), "attempt")
     text = F.col(text_col)
     few = exceptions.limit(EXCEPTIONS + 1).collect()
-    joined = "__attempts"
+    joined, cards = "__attempts", "__cards"
     if not few:
         rows = df
         attempt_of = lambda e: F.lit(0)
@@ -263,13 +305,14 @@ def replace_pii(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
         known = F.map_from_arrays(F.array(*(F.lit(r.name) for r in few)), F.array(*(F.lit(r.attempt) for r in few)))
         attempt_of = lambda e: F.coalesce(known[F.concat(e["type"], F.lit("|"), e["norm"])], F.lit(0))
     else:
-        mentions = df.where(text.isNotNull()).select(F.col(id_col).alias("__id"), F.explode(_matches(text)).alias("match")).withColumn("kind", kind_of(F.col("match")))
+        mentions = df.where(text.isNotNull()).withColumn(cards, _cards(text)).select(F.col(id_col).alias("__id"), F.explode(_matches(text, F.col(cards))).alias("match")).withColumn("kind", kind_of(F.col("match")))
         mentions = mentions.select("__id", F.explode(entities_of(F.col("match"), F.col("kind"))).alias("e")).select("__id", F.concat("e.type", F.lit("|"), "e.norm").alias("name")).distinct()
         by_doc = materialize(mentions.join(exceptions, "name").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(joined)), "attempts")
         rows = df.join(by_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
         attempt_of = lambda e: F.coalesce(F.col(joined)[F.concat(e["type"], F.lit("|"), e["norm"])], F.lit(0))
     replaced = "__replaced"
-    rows = rows.withColumn(replaced, _replaced(key, _matches(text), attempt_of))
-    whole = _join(F.transform(F.split(text, ANY), lambda g, i: F.concat(g, F.coalesce(F.get(replaced, i)["text"], F.lit("")))))
+    rows = rows.withColumn(cards, _cards(text)).withColumn(replaced, _replaced(key, _matches(text, F.col(cards)), attempt_of))
+    between = F.when(F.col(cards).isNull(), F.split(text, ANY)).otherwise(F.split(text, F.col(cards)))
+    whole = _join(F.transform(between, lambda g, i: F.concat(g, F.coalesce(F.get(replaced, i)["text"], F.lit("")))))
     counted = F.size(F.filter(replaced, lambda x: x["kind"].isNotNull())).cast("long")
-    return rows.drop("n_entities").withColumn("n_entities", counted).withColumn(text_col, F.when(F.size(replaced) == 0, text).otherwise(whole)).drop(replaced, joined)
+    return rows.drop("n_entities").withColumn("n_entities", counted).withColumn(text_col, F.when(F.size(replaced) == 0, text).otherwise(whole)).drop(replaced, joined, cards)
