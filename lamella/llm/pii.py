@@ -52,10 +52,12 @@ FAMILY[("latin", "f")] = FAMILY[("latin", "m")]
 
 _NAME = r"\p{Lu}[\p{Ll}\p{Lu}’'-]*\p{Ll}"
 _ADDRESSES = "|".join(x for v in ADDRESS.values() for x in v.split("|"))
-_SECRET_NAMES = r"password|passwd|pwd|secret|token|api_?key|access_?key"
+_SECRET_NAMES = r"password|passwd|pwd|secret|token|api[_ \-]?key|access[_ \-]?key"
+#: What may stand before the name of a secret: words that end in _, - or . or before a capital (DB_PASSWORD, clientSecret).
+_SECRET_PREFIX = r"(?:(?![A-Za-z0-9_\-]{0,127}\.\d)[A-Za-z_][A-Za-z0-9_.\-]{0,127}(?:(?<=[_.\-])|(?<=[a-z0-9])(?=[A-Z])))?"
 #: In this order; where two match at one place the first counts.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9_])(?i:{_SECRET_NAMES})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[A-Za-z0-9+/=_.\-]{{8,}}+",
+    "secret": rf"(?<![A-Za-z0-9_]){_SECRET_PREFIX}(?i:{_SECRET_NAMES})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[A-Za-z0-9+/=_.\-]{{8,}}+",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ssn": r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -65,7 +67,7 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_ADDRESSES})\.? {_NAME}(?: {_NAME})?",
 }
 #: All of them in one. What all demand of a place, and the first letters of each, is looked at first.
-_FIRST = {"secret": "[pPsStTaA]", "email": "[A-Za-z0-9._%+\\-]", "key": "A", "ssn": "[0-9]", "phone": "[0-9(+]", "ip": "[0-9]", "card": "[0-9]", "name": "[" + "".join(sorted({x[0] for v in ADDRESS.values() for x in v.split("|")})) + "]"}
+_FIRST = {"secret": "[A-Za-z_]", "email": "[A-Za-z0-9._%+\\-]", "key": "A", "ssn": "[0-9]", "phone": "[0-9(+]", "ip": "[0-9]", "card": "[0-9]", "name": "[" + "".join(sorted({x[0] for v in ADDRESS.values() for x in v.split("|")})) + "]"}
 _PARTS = {kind: f"(?={_FIRST[kind]})(?:{p})" for kind, p in PATTERNS.items()}
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join(_PARTS.values()) + ")"
 #: ANY without cards, in two parts: what goes before them and what after. Cards are put between for each text that has RUN.
