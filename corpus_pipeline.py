@@ -31,12 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of equal rows, one."""
-    groups = jaccard_components(docs, width=5, percent=80)
-    stay = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "stay")
-    # the join leaves equal ids together, so equal rows are found without another exchange
-    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(COLUMNS)
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(COLUMNS))
+    """Of each group of near copies one row stays, of the smallest id; a row without an id only if no other has one.
+
+    Groups are of rows, whatever their ids: rows that repeat an id or have none are grouped by their texts
+    like all others. Equal rows are one. Texts without words are near copies of nothing. Rows are told apart
+    by a 64-bit hash: if two share one, both stay where one of them does.
+    """
+    columns = [F.col(c) for c in COLUMNS]
+    rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*columns, *(c.isNull() for c in columns)))
+    groups = jaccard_components(rows, id_col="row_key", width=5, percent=80).select("row_key", "component_id").distinct()
+    named = rows.select("row_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
+    stay = materialize(groups.join(named, "row_key").groupBy("component_id").agg(first).select("first.row_key").distinct(), "stay")
+    # the join leaves equal keys together, so equal rows are found without another exchange
+    return rows.join(stay, "row_key", "left_semi").dropDuplicates(["row_key", *COLUMNS]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
