@@ -10,10 +10,12 @@ States and transitions are compiled when first met and kept.
 
 A space after another character always ends a piece (checked when the vocabulary is compiled), so the
 transducer returns to its start state there. A chunk of text thus maps any entry state to the count of
-its head, read from that state, plus a constant, and to one fixed exit state. These chunk maps compose
-associatively; long texts are cut into chunks whose maps are composed pairwise as in a parallel prefix
-scan, and the constant part is a sum over whole words, whose counts are remembered. Remembered words and
-compiled states are bounded: beyond KNOWN_WORDS or KNOWN_STATES they are dropped and made anew.
+its head, read from that state, plus a constant, and to one fixed exit state; the constant is itself a sum
+over the words of the chunk, whose maps are remembered. Every text is cut into chunks, and their maps,
+which compose associatively, are composed pairwise as in a parallel prefix scan.
+
+Remembered words and compiled states are bounded: beyond KNOWN_WORDS or KNOWN_STATES they are dropped and
+made anew, also in the middle of a text. States are therefore passed on by what they stand for.
 """
 
 from __future__ import annotations
@@ -46,8 +48,12 @@ def merge_pieces(text: str, scores: dict[str, float]) -> list[str]:
     return parts
 
 
+#: The state before the first character.
+START = ("", ((0, None, 0),))
+
+
 class Transducer:
-    """The compiled vocabulary. run() reads characters; its states are integers, 0 is the start."""
+    """The compiled vocabulary. run() reads characters."""
 
     def __init__(self, scores: dict[str, float], fallback: bool = True):
         self.scores, self.fallback = scores, fallback
@@ -61,12 +67,12 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """Drops all compiled states but the start; callers must hold no other state."""
+        """Drops all compiled states but the start."""
         self.agree: dict[tuple[str | None, str], bool] = {}
         self.ids: dict[tuple, int] = {}
         self.known: list[tuple] = []
         self.moves: list[dict[str, tuple[int, int]]] = []
-        self._state(("", ((0, None, 0),)))
+        self._state(START)
 
     def _state(self, key: tuple) -> int:
         if key not in self.ids:
@@ -97,16 +103,20 @@ class Transducer:
         grown = suffix + c
         return self._state((grown[len(grown) - longest :], tuple(sorted(kept, key=lambda x: x[0])))), delta
 
-    def run(self, text: str, state: int = 0) -> tuple[int, int]:
-        """State after text, and by how much the token count grew."""
-        total, moves = 0, self.moves
+    def run(self, text: str, entry: tuple = START) -> tuple[tuple, int]:
+        """The state after text, and by how much the token count grew."""
+        total, moves, state = 0, self.moves, self._state(entry)
         for c in text:
             move = moves[state].get(c)
             if move is None:
+                if len(self.known) >= KNOWN_STATES:
+                    here = self.known[state]
+                    self.forget()
+                    moves, state = self.moves, self._state(here)
                 move = moves[state][c] = self._compile(state, c)
             state = move[0]
             total += move[1]
-        return state, total
+        return self.known[state], total
 
 
 class _Words(dict):
@@ -155,33 +165,44 @@ class Counter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if len(self.transducer.known) > KNOWN_STATES:
-            self.transducer.forget()
         text = SPACE + text.replace(" ", SPACE)
-        if len(text) <= CHUNK:
-            return sum(map(self.known.__getitem__, self._words(text)))
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         # a space that begins a chunk belongs to its head, so composing needs no look back
+        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        state, total = 0, 0
-        for part in maps[0][0]:
+        head, rest, _ = maps[0]
+        if len(head) == 1:  # a word like any other
+            return self.known[head[0]] + (rest or 0)
+        state, total = START, rest or 0
+        for part in head:
             state, more = self.transducer.run(part, state)
             total += more
-        return total + (maps[0][1] or 0)
+        return total
+
+
+#: Texts that a model must leave as they are before encoding, beside the space before them: what other
+#: normalisations fold, drop or join.
+UNTOUCHED = ("a  b", " a ", "\t\n\r", "\u00a0\u200b", "\u2460\ufb01\u00bd\uff21", "e\u0301 \u00e9", "\u0130\u1e9e", "\u1100\u1161", "\u2581")
 
 
 def load_counter(model_path: str) -> Counter:
-    """Compiles a byte-pair model file of sentencepiece with identity normalisation and byte fallback."""
+    """Compiles a byte-pair model file of sentencepiece; one with another normalisation than the identity, of
+    another kind or with pieces of the user's own is refused.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    scores = {
-        model.id_to_piece(i): model.get_score(i)
-        for i in range(model.get_piece_size())
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-    }
-    return Counter(Transducer(scores, any(model.is_byte(i) for i in range(model.get_piece_size()))))
+    every = range(model.get_piece_size())
+    scores = {model.id_to_piece(i): model.get_score(i) for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    if any(model.normalize(x) != SPACE + x.replace(" ", SPACE) for x in UNTOUCHED):
+        raise ValueError(f"{model_path}: the model changes texts before it encodes them")
+    counter = Counter(Transducer(scores, any(model.is_byte(i) for i in every)))
+    # pieces of the user's own and other kinds of models segment without merging: the pieces tell
+    for piece in scores:
+        plain = piece.replace(SPACE, " ")
+        if len(piece) > 1 and not piece.startswith(SPACE) and counter.count(plain) != len(model.encode(plain)):
+            raise ValueError(f"{model_path}: {piece!r} is not encoded by merging pairs")
+    return counter
 
 
 _loaded: dict[str, Counter] = {}

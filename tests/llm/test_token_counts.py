@@ -1,4 +1,5 @@
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +39,27 @@ def test_long_texts_and_forgetting():
     assert COUNTER.count("once more") == len(LIBRARY.encode("once more"))
 
 
+def test_states_are_dropped_inside_a_text(monkeypatch):
+    text = "".join(chr(97 + i * i * 7919 % 26) for i in range(30000))
+    monkeypatch.setattr(token_counts, "KNOWN_STATES", 50)
+    for chunk in (1 << 16, 1000):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        COUNTER.known.clear()
+        assert COUNTER.count(text) == len(LIBRARY.encode(text))
+        assert len(COUNTER.transducer.known) <= 51
+    assert COUNTER.count(text[:5000] + " the end " + text[5000:]) == len(LIBRARY.encode(text[:5000] + " the end " + text[5000:]))
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    class Folds(sentencepiece.SentencePieceProcessor):
+        def normalize(self, text, **_):
+            return super().normalize(text).lower()
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folds)
+    with pytest.raises(ValueError, match="changes texts"):
+        load_counter(MODEL)
+
+
 def test_query_against_the_library(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = {k: (len(t.encode()), len(LIBRARY.encode(t)), len(LIBRARY.encode(t)) > 4096) for k, t in texts.items()}
