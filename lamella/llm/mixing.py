@@ -78,14 +78,16 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, k: int, steps: int = 400,
 
 
 def learn(df: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", most: int = 20000) -> Classifier:
-    """Learns from at most `most` labelled documents, chosen by a hash of the id. Labels with a null are
-    skipped. Without any labelled document there is one domain, ().
+    """Learns from at most `most` labelled rows of df, chosen by a hash of the id. Labels with a null are
+    skipped; rows that repeat an id count each, as do its labels. One half of the ids fits the weights, the
+    other the softmax, whatever their number. Without any labelled document there is one domain, ().
     """
     known = labels.select(id_col, *label_cols).dropna()
     share = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
     n = known.count()
     sample = known.where(share < int((1 << 30) * min(1.0, 1.2 * most / max(n, 1)))).orderBy(share, id_col, *label_cols).limit(most)
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.withColumnRenamed(id_col, "id")), "id")
+    place, half = F.xxhash64("id", F.lit(2)).alias("place"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half")
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,11 +95,13 @@ def learn(df: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
                 owner, found, _ = features_of(texts)
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
                 packed = [found[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[a:b].cast(pa.int64()) for c in label_cols], batch.column("half")[a:b].cast(pa.int32()), pa.array(packed, pa.binary())], names=[*label_cols, "half", "features"])
+                kept = [batch.column(c)[a:b].cast(pa.int64()) for c in (*label_cols, "place")]
+                yield pa.RecordBatch.from_arrays([*kept, batch.column("half")[a:b].cast(pa.int32()), pa.array(packed, pa.binary())], names=[*label_cols, "place", "half", "features"])
 
-    cols = ", ".join(f"`{c}` long" for c in label_cols)
-    chosen = chosen.select(*label_cols, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"), "text")
-    table = materialize(chosen.mapInArrow(features, f"{cols}, half int, features binary"), "labelled")
+    cols = ", ".join(f"`{c}` long" for c in (*label_cols, "place"))
+    found = chosen.select(*label_cols, place, half, "text").mapInArrow(features, f"{cols}, half int, features binary")
+    # rows that repeat an id multiply the sample, so the bound is set on what is collected
+    table = materialize(found.orderBy("place", "features", *label_cols).limit(most), "labelled")
     rows = table.collect()  # at most `most` rows of distinct features
     release_table(table)
     domains = sorted({tuple(r[c] for c in label_cols) for r in rows})
@@ -108,7 +112,7 @@ def learn(df: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
     k, y = len(domains), np.array([place[tuple(r[c] for c in label_cols)] for r in rows])
     lists = [np.frombuffer(r["features"], "<u4") for r in rows]
     half = np.array([r["half"] for r in rows])
-    first = half == 0 if len(rows) >= 40 else np.ones(len(rows), bool)
+    first = half == 0
     present = np.zeros((FEATURES, k))
     for i in np.flatnonzero(first):
         present[lists[i], y[i]] += 1
@@ -118,10 +122,11 @@ def learn(df: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
     share = (present + rest) / max(sizes.sum(), 1)
     differ = np.abs(present / np.maximum(sizes, 1) - rest / np.maximum(others, 1))
     weights[differ <= EVIDENCE * np.sqrt(share * (1 - share) * (1 / np.maximum(sizes, 1) + 1 / np.maximum(others, 1)))] = 0
-    second = ~first if len(rows) >= 40 else first
+    second = ~first
     sums = np.array([weights[f].sum(0) for f, s in zip(lists, second, strict=True) if s]).reshape(-1, k)
-    scale, bias = _softmax_regression(sums, y[second], k)
-    return Classifier(domains, weights, scale, bias, np.bincount(y, minlength=k) / len(y))
+    prior = np.bincount(y, minlength=k) / len(y)
+    scale, bias = _softmax_regression(sums, y[second], k) if second.any() else (np.zeros((k, k)), np.log(prior))
+    return Classifier(domains, weights, scale, bias, prior)
 
 
 def predict(df: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
@@ -186,41 +191,59 @@ def fit_rates(predicted: DataFrame, targets: list[float], nearness: float = 1e-3
     if total:
         value, gradient, gram = look(pull)
         for _ in range(STEPS):
-            step = -np.linalg.solve(gram + nearness * np.eye(k), gradient)
             if np.abs(gradient).max() < CLOSE:
                 break
+            step = -np.linalg.solve(gram + nearness * np.eye(k), gradient)
             pace = 1.0
-            while pace > 1e-3:
+            while True:
                 found = np.round(pull + pace * step, 12)
                 seen = look(found)
                 if seen[0] <= value + 1e-4 * pace * (gradient @ step):
                     break
                 pace /= 2
-            else:
-                break
+                if pace < 1e-3:
+                    raise RuntimeError(f"the rates do not converge: no descent from a gradient of {np.abs(gradient).max():.3g}")
             pull, (value, gradient, gram) = found, seen
+        else:
+            raise RuntimeError(f"the rates do not converge in {STEPS} steps: the gradient is {np.abs(gradient).max():.3g}")
     release_table(table)
     return pull.tolist()
 
 
-def mix_sources(df: DataFrame, labels: DataFrame, targets: dict[tuple, float], label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20000, seed: int = 1) -> DataFrame:
+def largest_shrink(predicted: DataFrame, shares: list[float]) -> float:
+    """By how much the total must grow so that no domain with a positive share ends below its present tokens."""
+    sums = [F.sum(F.col("tokens") * F.get("posterior", F.lit(i))) for i in range(len(shares))]
+    row = predicted.agg(F.sum("tokens"), *sums).first()
+    return max([1.0, *(have / row[0] / share for have, share in zip(row[1:], shares, strict=True) if share > 0)]) if row[0] else 1.0
+
+
+def mix_sources(df: DataFrame, labels: DataFrame, targets: dict[tuple, float], label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20000, seed: int = 1, token_col: str | None = None, grow: bool = False) -> DataFrame:
     """df with tokens, posterior, rate (how often the document should be seen) and copies: the rate rounded
     up or down by a hash of id and text, so that the mean of copies is the rate.
 
     targets give shares of the token total to domains, the tuples of label_cols; they are scaled to 1
     over the domains that the labels know, and a domain without a target keeps what is left in proportion
-    to its present share if the given ones sum to less than 1, else gets nothing. Null and empty texts
+    to its present share if the given ones sum to less than 1, else gets nothing. The total is that of df;
+    with grow it is so much larger that no domain with a positive share loses tokens, so that documents go
+    only where their domain is unwanted. Tokens are words unless token_col names a column of df with their
+    number (null: none). Null and empty texts
     have no tokens; they get the rate that their posterior implies. Repeated rows get equal copies. An
     empty table stays empty; without labels all rates are 1. Columns of df with the new names are
     replaced. Texts stay in their partitions.
     """
     classifier = learn(df, labels, label_cols, id_col, text_col, most_labelled)
     predicted = predict(df, classifier, text_col)
+    if token_col:
+        predicted = predicted.withColumn("tokens", F.coalesce(F.col(token_col).cast("long"), F.lit(0)))
     wanted = [targets.get(d) for d in classifier.domains]
     left = max(0.0, 1 - sum(w for w in wanted if w is not None))
     open_share = sum(p for w, p in zip(wanted, classifier.prior, strict=True) if w is None)
     shares = [left * p / open_share if w is None else w for w, p in zip(wanted, classifier.prior, strict=True)]
-    pull = fit_rates(predicted, [s / sum(shares) for s in shares]) if sum(shares) > 0 and len(shares) > 1 else []
+    pull = []
+    if sum(shares) > 0 and len(shares) > 1:
+        goal = [s / sum(shares) for s in shares]
+        size = largest_shrink(predicted, goal) if grow else 1.0
+        pull = fit_rates(predicted, [g * size for g in goal])
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
     rated = predicted.withColumn("rate", _rate(pull))
     return rated.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))

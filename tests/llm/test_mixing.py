@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from lamella.llm import mixing
 from lamella.llm.mixing import learn, mix_sources, predict
 from lamella.llm.queries import MIX_TARGETS, op10_mixing
 from pyspark.sql import functions as F
@@ -63,6 +65,37 @@ def test_query_meets_its_targets(spark):
     assert np.abs(shares - wanted).max() < np.abs(tokens @ p / tokens.sum() - wanted).max() / 2
 
 
+def test_what_is_learned_from_is_bounded(spark, monkeypatch):
+    """Rows that repeat an id multiply neither the sample nor what the driver holds."""
+    docs, labels = make(spark, 40)
+    seen = []
+    plain = mixing.materialize
+
+    def counted(df, name):
+        table = plain(df, name)
+        seen.append(table.count())
+        return table
+
+    monkeypatch.setattr(mixing, "materialize", counted)
+    learn(docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id"), labels, most=10)
+    assert seen == [10]
+
+
+def test_tokens_may_be_given_and_the_total_may_grow(spark):
+    docs, labels = make(spark, 2400)
+    given = docs.withColumn("n", F.when(F.col("doc_id") % 2 == 0, 7))
+    assert {r.tokens for r in mix_sources(given, labels, MIX_TARGETS, token_col="n").collect()} == {0, 7}
+    before, after = (mix_sources(docs, labels, {(1, 0): 0.9, (0, 0): 0.1, (1, 1): 0.0, (0, 1): 0.0}, grow=g).where("text not like '%vile%'").collect() for g in (False, True))
+    assert sum(r.copies == 0 for r in before) > 400 > 40 > sum(r.copies == 0 for r in after)
+
+
+def test_a_fit_that_does_not_converge_is_an_error(spark, monkeypatch):
+    docs, labels = make(spark, 200)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="converge"):
+        mix_sources(docs, labels, {(1, 0): 1.0})
+
+
 def test_edge_rows(spark):
     docs, labels = make(spark, 100)
     extra = spark.createDataFrame([(1000, None), (1001, ""), (None, "good1 good2"), (1002, "vile " * 20000), (1003, "x"), (1003, "x")], "doc_id long, text string")
