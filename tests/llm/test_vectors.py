@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lamella.llm.queries import op4_topk_search, op8_vector_dedup
-from lamella.llm.topk_search import RESOLUTIONS, segment_statistics, top_k_search
+from lamella.llm.topk_search import RESOLUTIONS, TopK, segment_statistics, top_k_search
 from lamella.llm.vector_dedup import near_duplicates, nearest_lattice_points
 from pyspark.sql import functions as F
 
@@ -43,15 +43,50 @@ def test_topk_edge_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (100, [1.0, 0.0, 0.0]), (None, [9.0, 9.0]), (1, [0.5, 0.5]), (0, [1.0, 0.0]), (150, [])]
     df = spark.createDataFrame(rows, VECTORS).withColumn("score", F.lit(1))
     got = sorted(tuple(r) for r in top_k_search(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == [(0, 1, 1, 256 * 128), (0, 2, 1, 256 * 128)]
+    # the row that repeats a query's id is a candidate, the query's own row is none
+    assert got == [(0, 1, 0, 256 * 256), (0, 2, 1, 256 * 128), (0, 3, 1, 256 * 128)]
     assert top_k_search(df.limit(0), F.lit(True)).count() == 0
     huge = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e8, 2.0])], "vec_id long, embedding array<double>")
     assert [r.score for r in top_k_search(huge, F.lit(True), scale=1).collect()] == [10**16 + 2] * 2
 
 
+def test_topk_of_rows_that_repeat_ids(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted(tuple(r) for r in top_k_search(df, F.lit(True), scale=1).select("query_id", "rank", "vec_id", "score").collect())
+    # of id 0 the least vector (1, 1) asks
+    assert got == [(0, 1, 1, 3), (0, 2, 0, 2), (0, 3, 0, 2), (1, 1, 0, 6), (1, 2, 0, 3), (1, 3, 0, 3)]
+
+
+def test_scores_beyond_64_bits_fail(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [4e16, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big|out of bounds|convert"):
+        top_k_search(df, F.lit(True)).collect()
+    big = spark.createDataFrame([(i, [3e8, float(i)]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in top_k_search(big, F.col("vec_id") == 0, k=3, scale=1).collect()) == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_only_survivors_are_scored(spark):
+    """Bounds from the statistics discard nearly all pairs of the table, and what is left is exact."""
+    ids, rows = table(spark, "/root/testdata/sf0.1")
+    whole = np.floor(256 * rows)
+    asked = np.flatnonzero(ids % 50 == 0)
+    least = np.full(len(asked), -np.inf)
+    for _ in range(2):  # the first pass is over the seeds: here all rows
+        best_ = TopK(whole[asked], 5, least)
+        for i in range(0, len(ids), 256):
+            part = slice(i, i + 256)
+            best_.show(ids[part], whole[part], ids[part][None, :] != ids[asked][:, None])
+        least = best_.scores[:, -1]
+    scores = whole @ whole[asked].T
+    scores[asked, np.arange(len(asked))] = -np.inf
+    assert np.array_equal(best_.scores, -np.sort(-scores.T, 1)[:, :5])
+    assert best_.pairs == len(asked) * (len(ids) - 1) and best_.scored < 0.06 * best_.pairs
+
+
 def test_bounds_hold():
     random = np.random.default_rng(2)
-    a, b = random.standard_normal((50, 37)), random.standard_normal((60, 37))
+    a, b = random.standard_normal((50, 96)), random.standard_normal((60, 96))
     exact = a @ b.T
     last = np.full_like(exact, np.inf)
     for r in RESOLUTIONS:
