@@ -2,9 +2,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from lamella.llm import warc
 from lamella.llm.queries import op5_warc
 from lamella.llm.storage import new_path
-from lamella.llm.warc import filesystem, plan_records, read_warc, write_warc
+from lamella.llm.warc import filesystem, page_record, plan_records, ranges, read_warc, write_warc
 
 
 def expected(pages):
@@ -57,6 +58,44 @@ def test_same_rows_give_same_files(spark):
     assert hashes[0] == hashes[1]
 
 
+def written(spark, df, monkeypatch, least=1 << 15):
+    monkeypatch.setattr(warc, "LEAST_RANGE", least)
+    manifest = write_warc(plan_records(df), folder := new_path(spark, "warc-many")).collect()
+    fs, path = filesystem(folder)
+    from pyarrow.fs import FileSelector
+
+    assert not [x.path for x in fs.get_file_info(FileSelector(path)) if "_temporary" in x.path]
+    return sorted((m.file, m.sha1, m.records, m.first_page, m.last_page) for m in manifest)
+
+
+def test_many_rows_in_any_order_give_same_sorted_files(spark, monkeypatch):
+    """More rows than a sample would look at, with ids far apart and one id that a third of the rows have."""
+    i = F.col("id")
+    page = F.when(i % 3 == 0, 5).when(i % 1000 == 1, i * 10**14).when(i % 1000 == 2, -i).otherwise(i)
+    df = spark.range(30000).select(page.alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha1(i.cast("string")), 2).alias("html"))
+    first = written(spark, df.repartition(3), monkeypatch)
+    assert first == written(spark, df.repartition(7), monkeypatch)
+    assert sum(m[2] for m in first) == 30000 and len(first) > 40 and max(m[2] for m in first) < 2000
+    assert all(a[4] <= b[3] for a, b in zip(first, first[1:]))
+
+
+def test_ranges_of_all_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_RANGE", 100)
+    top = (1 << 63) - 1
+    df = spark.createDataFrame([(x, 60) for x in (-top - 1, -5, 0, 1, 2, top - 1, top)], "id long, bytes long")
+    starts, cuts = ranges(df)
+    assert starts[0] == -top - 1 and starts == sorted(starts) and set(cuts) == {1} and len(starts) >= 4
+    assert ranges(df.limit(0)) == ([-top - 1], [1])
+
+
+def test_revisits_name_what_they_refer_to(spark):
+    long = "x" * 2000
+    df = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long)], "page_id long, url string, html string")
+    row = next(r for r in plan_records(df).collect() if r.record_type == "revisit")
+    text = page_record(row.asDict(), "2024-01-01T00:00:00Z").decode()
+    assert "WARC-Refers-To-Target-URI: http://b\r\n" in text and "WARC-Refers-To-Date: 2024-01-01T00:00:00Z\r\n" in text
+
+
 def test_empty(spark):
     folder = new_path(spark, "warc-empty")
     df = spark.createDataFrame([], "page_id long, url string, html string")
