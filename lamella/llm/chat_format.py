@@ -2,7 +2,7 @@
 
 A log holds events of conversations: a message, a streamed delta of its text, an edit, a regeneration, a
 deletion. Logs are partitioned by conversation and a range of messages, sorted, and folded into the final
-messages; ranges then meet, sorted, in one row for each conversation, since a rendered conversation is one
+messages, runs of deltas being joined first, so that a stream of many costs no more than its text; ranges then meet, sorted, in one row for each conversation, since a rendered conversation is one
 string. DataFrame functions only.
 
 The template marks turns with control strings. Inside texts, control strings of this and of other common
@@ -29,6 +29,24 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\p"), F.lit("")), F.lit("\\e"), F.lit("\\"))
 
 
+def _joined(events: Column) -> Column:
+    """Sorted events, with each run of deltas of one message as one event: part of the message, edit or
+    regeneration before it, or a delta of its own after a deletion or where nothing was begun.
+    """
+    numbers = F.sequence(F.lit(0), F.size(events) - 1)
+    at = lambda i: F.get(events, i)
+    starts = F.filter(numbers, lambda i: (i == 0) | (at(i)["kind"] != "delta") | (at(i - 1)["kind"] == "delete") | ~at(i)["message"].eqNullSafe(at(i - 1)["message"]))
+
+    def run(bounds: Column) -> Column:
+        first = at(bounds["start"])
+        text = F.array_join(F.transform(F.slice(events, bounds["start"] + 1, bounds["end"] - bounds["start"]), lambda e: e["text"]), "")
+        return F.struct(first["message"].alias("message"), first["kind"].alias("kind"), first["role"].alias("role"), text.alias("text"))
+
+    # a lambda, so that the starts are found once
+    spans = F.flatten(F.transform(F.array(starts), lambda s: F.transform(s, lambda x, k: F.struct(x.alias("start"), F.coalesce(F.get(s, k + 1), F.size(events)).alias("end")))))
+    return F.transform(spans, run)
+
+
 def fold_events(log: DataFrame) -> DataFrame:
     """conv_id, messages: array of (message, role, text) in order, from conv_id, message, seq, kind, role, text.
 
@@ -56,7 +74,7 @@ def fold_events(log: DataFrame) -> DataFrame:
         )
 
     kind = f"array<struct<message:{log.schema['message'].dataType.simpleString()},role:string,text:string>>"
-    folded = ranges.select("conv_id", "range", F.aggregate("events", F.array().cast(kind), step).alias("messages"))
+    folded = ranges.select("conv_id", "range", F.aggregate(_joined(F.col("events")), F.array().cast(kind), step).alias("messages"))
     return folded.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("range", "messages"))), lambda r: r["messages"])).alias("messages"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -59,3 +60,35 @@ def test_repeated_rows_and_empty_table(spark):
 def test_many_messages_cross_ranges(spark):
     rows = [(9, i, i, "message", "user", str(i)) for i in reversed(range(1000))]
     assert fold(spark, rows)[9] == [("user", str(i)) for i in range(1000)]
+
+
+def test_one_long_stream_of_deltas(spark):
+    n = 60000
+    rows = spark.range(n).selectExpr("1L conv_id", "id div 30000 message", "id seq", "'delta' kind", "'assistant' role", "concat(id % 10, '') text")
+    start = time.monotonic()
+    got = {r.conv_id: [m.text for m in r.messages] for r in fold_events(rows).collect()}
+    assert got == {1: ["0123456789" * 3000] * 2} and time.monotonic() - start < 30
+
+
+def folded(rows):
+    """The rules of fold_events, one event after another."""
+    out = {}
+    for conv, message, _, kind, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] or "message", r[4], r[5])):
+        done = out.setdefault(conv, [])
+        open_ = bool(done) and done[-1][0] == message
+        if kind == "delete":
+            if open_:
+                done.pop()
+        elif kind == "message" or not open_:
+            done.append((message, role, text))
+        else:
+            last = done.pop()
+            done.append((message, last[1], last[2] + text if kind == "delta" else text))
+    return {k: [(role, text) for _, role, text in v] for k, v in out.items()}
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(254, 258), st.sampled_from(["message", "delta", "delta", "edit", "regenerate", "delete"]), st.sampled_from(["user", "assistant"]), st.sampled_from(["a", "b", ""])), min_size=1, max_size=40))
+def test_events_against_one_after_another(spark, events):
+    rows = [(c, m, i, k, r, t) for i, (c, m, k, r, t) in enumerate(events)]
+    assert fold(spark, rows) == folded(rows)
