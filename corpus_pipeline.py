@@ -15,17 +15,19 @@ from lamella.llm.ngram_join import jaccard_components
 from lamella.llm.packing import pack
 from lamella.llm.pii import replace_pii
 from lamella.llm.queries import MIX_TARGETS, PII_KEY, table, tokenizer
-from lamella.llm.storage import materialize
+from lamella.llm.storage import materialize, release_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Texts of at least so many characters that cost more bits a character are in no learned language.
-JUDGED_CHARS, MOST_BITS = 40, 8.0
+#: A text is in no learned language if its parse costs more than MOST_BITS for each symbol (letters and the
+#: boundaries between words), and SLACK_BITS more in all: about eight phrases, which any short text may need.
+#: Of documents in learned languages none of over 40 symbols cost 6.5 bits; letters that no sample holds cost 15.
+MOST_BITS, SLACK_BITS = 8.0, 120.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """lang becomes the predicted language; documents without letters or in no learned language go."""
     known = identify(docs.select(*COLUMNS), sample_labelled(docs))
-    foreign = (F.length("text") >= JUDGED_CHARS) & (F.col("bits") > MOST_BITS)
+    foreign = F.col("bits") * F.col("symbols") > MOST_BITS * F.col("symbols") + SLACK_BITS
     kept = known.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(foreign, F.lit(False)))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -53,8 +55,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document occurs as often as its rate says."""
-    mixed = mix_sources(docs, table(spark, sf_dir, "labels"), MIX_TARGETS)
+    """Each document occurs as often as its rate says. The total grows until no wanted domain loses tokens:
+    shares are met by repeating documents, and only those of unwanted domains go.
+    """
+    mixed = mix_sources(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, grow=True)
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
@@ -69,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            release_table(before)  # the stage that read it is written
+        before = docs
     return docs

@@ -1,7 +1,7 @@
 """Tables that cut lineage, kept in the folder that the cluster shares.
 
-The folder is spark.checkpoint.dir of the session. Only where that is unset (tests on one machine) a
-temporary folder is made and set, so that every later call agrees on it.
+The folder is spark.checkpoint.dir of the session. Only where that is unset on one machine (tests) a
+temporary folder is made and set, so that every later call agrees on it; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors can read and write."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lamella-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
