@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.functions.convert import local_micros
+
 FLOATS = (T.FloatType, T.DoubleType)
 
 
@@ -46,6 +48,10 @@ def _number(x: Column, kind: T.DataType) -> Column:
         return F.unix_date(x).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(x).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return local_micros(x).cast("double")
+    if isinstance(kind, T.TimeType):
+        return (F.hour(x) * 3600 + F.minute(x) * 60 + F.extract(F.lit("SECOND"), x)).cast("double") * 1e6
     return F.lit(None).cast("double")
 
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.errors import ContractError
+from lamella.operators.dataset import ROLLOVER
 from lamella.operators.sink import WriteOptions, writer
 from lamella.plans.contract import Contract
 from lamella.plans.evolution import check_strict
 from lamella.sources.relations import relation
 from lamella.sources.scan import file_schemas, with_positions
+from lamella.storage import materialize
 
 
 def _fs(spark: SparkSession, path: str):
@@ -47,25 +51,65 @@ def in_order(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def merge(spark: SparkSession, sources: list[str], path: str, options: WriteOptions = WriteOptions(), files: int | None = None) -> None:
-    """Writes the rows of all sources to path, in order within and across files: range-sorted, so file
-    names follow row order. path must be none of the sources; Bloom filters are made anew by the options.
+def _copied(spark: SparkSession, sources: list[str], path: str) -> None:
+    """Copies all files byte for byte, on the executors, under names that follow the order of the rows."""
+    schemas = [[(f.name, f.dataType) for f in spark.read.parquet(s).schema.fields] for s in sources]
+    if any(s != schemas[0] for s in schemas):
+        raise ContractError("MERGE001", "the tables differ in their columns")
+    fs, at = _fs(spark, path)
+    if fs.exists(at):
+        raise ContractError("MERGE003", f"{path} is there already")
+    fs.mkdirs(at)
+    uri = fs.makeQualified(at).toString().rstrip("/")
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    files = [f for s in sources for f in sorted(spark.read.parquet(s).inputFiles())]
+    rows = [(f, f"part-{i:08d}.parquet") for i, f in enumerate(files)]
+    plan = spark.createDataFrame(rows, "source string, name string").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism * 8)))
+
+    def copy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem, copy_files
+
+        target, folder = FileSystem.from_uri(uri)
+        for batch in batches:
+            for r in batch.to_pylist():
+                origin, file = FileSystem.from_uri(r["source"])
+                temporary = f"{folder}/_{uuid.uuid4().hex}"
+                copy_files(file, temporary, source_filesystem=origin, destination_filesystem=target)
+                target.move(temporary, f"{folder}/{r['name']}")
+            yield batch
+
+    materialize(plan.mapInArrow(copy, "source string, name string"), "copied")
+
+
+def merge(spark: SparkSession, sources: list[str], path: str, options: WriteOptions | None = None, files: int | None = None) -> None:
+    """Writes the rows of all sources to path, in order within and across files, so that file names follow
+    row order. path must be none of the sources.
+
+    Without options or a number of files, files are copied as they are: nothing is decoded or shuffled, and
+    encodings, statistics and Bloom filters stay. With either, and for routed datasets, rows are written
+    anew, range-sorted by their order; Bloom filters are made anew by the options.
     """
     if any(s.rstrip("/") == path.rstrip("/") for s in sources):
         raise ContractError("MERGE002", "a table can't be merged into itself; use compact")
+    routed = any("=" in f.rpartition("/")[0].rpartition("/")[2] for s in sources for f in spark.read.parquet(s).inputFiles())
+    if options is None and files is None and not routed:
+        _copied(spark, sources, path)
+        return
     rows = in_order(spark, *sources)
     order = ["source", "file_path", "row_index"]
     placed = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    writer(placed.sortWithinPartitions(*order).drop(*order), options).mode("errorifexists").parquet(path)
+    writer(placed.sortWithinPartitions(*order).drop(*order), options or WriteOptions()).mode("errorifexists").parquet(path)
 
 
-def compact(spark: SparkSession, path: str, options: WriteOptions = WriteOptions(), files: int = 1) -> None:
-    """Rewrites a table in place as so many files. The old files stay until the new ones are complete: the
+def compact(spark: SparkSession, path: str, options: WriteOptions = WriteOptions(), files: int | None = None, target_bytes: int = ROLLOVER) -> None:
+    """Rewrites a table in place as so many files, or as many as hold target_bytes each now. The old files stay until the new ones are complete: the
     new table is written aside, the old one set aside, the new one renamed; if that fails the old returns.
     """
     aside, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
     fs, at = _fs(spark, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if files is None:
+        files = max(1, -(-(relation(spark, "files", path).agg(F.sum("file_bytes")).first()[0] or 0) // target_bytes))
     try:
         merge(spark, [path], aside, options, files)
     except Exception:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.errors import ContractError
 from lamella.operators.sink import WriteOptions, writer
@@ -12,21 +13,43 @@ from lamella.sources.relations import relation
 ROLLOVER = 512 << 20
 
 
-def rows_in(df: DataFrame, target_bytes: int, sample_bytes_per_row: float | None = None) -> int:
-    """How many rows fill target_bytes, from the optimizer's estimate of the plan unless told."""
-    if sample_bytes_per_row is None:
-        width = sum({"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}.get(kind, 24) for _, kind in df.dtypes)
-        sample_bytes_per_row = width
-    return max(1, int(target_bytes / max(sample_bytes_per_row, 1)))
+def _bytes_of(x: Column, kind: T.DataType) -> Column:
+    """Bytes of a value as it stands plain in a page; none for a null."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x), F.lit(0)).cast("long") + 4
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + _bytes_of(v, kind.elementType)), F.lit(0).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _bytes_of(F.map_keys(x), T.ArrayType(kind.keyType)) + _bytes_of(F.map_values(x), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        out = F.lit(0).cast("long")
+        for f in kind.fields:
+            out = out + _bytes_of(x.getField(f.name), f.dataType)
+        return out
+    return F.lit({"boolean": 1, "tinyint": 4, "smallint": 4, "int": 4, "date": 4, "float": 4}.get(kind.simpleString(), 16 if isinstance(kind, T.DecimalType) and kind.precision > 18 else 8)).cast("long")
+
+
+def rows_in(df: DataFrame, target_bytes: int, route: str | None = None) -> int:
+    """How many rows fill target_bytes before encoding and compression, in the route with the widest rows.
+    One aggregation counts the bytes of all rows.
+    """
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if f.name != route:
+            size = size + _bytes_of(F.col(f"`{f.name}`"), f.dataType)
+    grouped = df.groupBy(route) if route else df
+    widest = grouped.agg(F.avg(size).alias("bytes")).agg(F.max("bytes")).first()[0]
+    return max(1, int(target_bytes / max(widest or 1, 1)))
 
 
 def write_dataset(df: DataFrame, path: str, route: Column, order: tuple[str, ...] = (), part: str = "part", mode: str = "append", options: WriteOptions = WriteOptions(), max_rows: int | None = None, target_bytes: int = ROLLOVER, spread: int = 1) -> None:
     """Writes each row below path/part=<route>, creating or appending.
 
     Rows of a route keep the order of `order` within a file, and files of a task follow each other in it.
-    A route meets in one task, or in `spread` tasks for routes with very many rows; a task writes one file
-    at a time, and a new one after max_rows, or as many as fill about target_bytes. A null or empty route
-    is refused.
+    A route meets in one task, unless it has so many rows that adaptive execution splits it into several of
+    the advised size, or `spread` says into how many; a task writes one file at a time, and a new one after
+    max_rows, or as many as fill about target_bytes before encoding (see rows_in; write_arrow rolls by the
+    bytes of the file). A null or empty route is refused.
     """
     if part in df.columns:
         raise ContractError("DATASET001", f"the table has a column {part!r}; name the part otherwise")
@@ -38,9 +61,9 @@ def write_dataset(df: DataFrame, path: str, route: Column, order: tuple[str, ...
         # a stated number keeps adaptive execution from putting the parts together again
         placed = routed.repartition(max(spread, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.col(part), salt)
     else:
-        placed = routed.repartition(F.col(part))
+        placed = routed.hint("rebalance", F.col(part))
     placed = placed.sortWithinPartitions(part, *order)
-    limit = max_rows or rows_in(df, target_bytes)
+    limit = max_rows or rows_in(routed, target_bytes, part)
     writer(placed, options).option("maxRecordsPerFile", limit).mode(mode).partitionBy(part).parquet(path)
 
 

@@ -1,4 +1,6 @@
-"""What a Parquet writer can be told, as options of Spark's writer. What it can't be told is refused."""
+"""What a Parquet writer can be told, as options of Spark's writer. What it can't be told is refused here;
+operators.arrow_sink can do more of it.
+"""
 
 from __future__ import annotations
 
@@ -89,17 +91,20 @@ def options_of(options: WriteOptions, wanted: Contract | None = None) -> dict[st
     return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in out.items()}
 
 
+def sorted_rows(df: DataFrame, sorting: tuple[tuple[str, bool, bool], ...]) -> DataFrame:
+    """df sorted within its tasks by (column, descending, nulls first)."""
+    order = []
+    for name, descending, nulls_first in sorting:
+        x = df[f"`{name}`"]
+        order.append((x.desc_nulls_first() if nulls_first else x.desc_nulls_last()) if descending else (x.asc_nulls_first() if nulls_first else x.asc_nulls_last()))
+    return df.sortWithinPartitions(*order) if order else df
+
+
 def writer(df: DataFrame, options: WriteOptions = WriteOptions(), wanted: Contract | None = None) -> DataFrameWriter:
     """A writer of df; rows are sorted within their tasks if the options say how, and columns follow the contract."""
-    if wanted:
-        df = df.select(*(f"`{c}`" for c in wanted.names))
-    if options.sorting:
-        order = []
-        for name, descending, nulls_first in options.sorting:
-            x = df[name]
-            order.append((x.desc_nulls_first() if nulls_first else x.desc_nulls_last()) if descending else (x.asc_nulls_first() if nulls_first else x.asc_nulls_last()))
-        df = df.sortWithinPartitions(*order)
-    return df.write.options(**options_of(options, wanted))
+    if wanted:  # field ids are written from the columns' metadata
+        df = df.select(*(df[f"`{c.name}`"].alias(c.name, metadata={**df.schema[c.name].metadata, "parquet.field.id": c.field_id}) if c.field_id is not None else df[f"`{c.name}`"] for c in wanted.columns))
+    return sorted_rows(df, options.sorting).write.options(**options_of(options, wanted))
 
 
 def write_table(df: DataFrame, path: str, options: WriteOptions = WriteOptions(), wanted: Contract | None = None, mode: str = "errorifexists") -> None:

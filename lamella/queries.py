@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lamella.functions import convert
 from lamella.functions.statistics import column_statistics, totals
 from lamella.operators import nested
+from lamella.operators.arrow_sink import ArrowOptions, write_arrow
 from lamella.operators.compaction import append, compact, in_order, merge, merge_metadata
 from lamella.operators.converters import Converter, apply_converters
 from lamella.operators.dataset import write_dataset
@@ -18,9 +20,9 @@ from lamella.plans.contract import Column, column, contract
 from lamella.plans.evolution import Evolution
 from lamella.plans.pruning import All, Any, Test, bloom_report, page_report, read_matching, row_group_report
 from lamella.sources.relations import relation
-from lamella.sources.scan import scan, with_positions
+from lamella.sources.scan import needs_row_reader, scan, with_positions
 from lamella.storage import new_path
-from lamella.streaming.ingest import stream_dataset
+from lamella.streaming.ingest import observed_rows, stream_dataset
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,6 +67,25 @@ def scan_by_position(spark, at):
     return scan(spark, CUSTOMER, at("customer"), mode="position")
 
 
+@query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 2 * c_custkey, c_name FROM customer")
+def scan_by_position_many(spark, at):
+    """Files that name and order their columns otherwise."""
+    first, second = new_path(spark, "places"), new_path(spark, "places")
+    customers = spark.read.parquet(at("customer"))
+    customers.select("c_custkey", "c_name").write.parquet(first)
+    customers.select((2 * F.col("c_custkey")).alias("c_name"), F.col("c_name").alias("c_custkey")).write.parquet(second)
+    return scan(spark, contract(column("key", "long?"), column("name", "string?")), first, second, mode="position")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def scan_with_row_reader(spark, at):
+    """Encodings that only Spark's row reader reads, written and read by the options of this package."""
+    path = new_path(spark, "split")
+    wanted = contract(column("o_orderkey", "long?", encodings=("DELTA_BINARY_PACKED",)), column("o_totalprice", "double?", encodings=("BYTE_STREAM_SPLIT",)))
+    write_arrow(spark.read.parquet(at("orders")), path, ArrowOptions(page_checksums=True), wanted)
+    return scan(spark, wanted, path, verify_checksums=True, row_reader=needs_row_reader(spark, path))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
 def project_lineitem(spark, at):
     return spark.read.parquet(at("lineitem")).select("l_orderkey", "l_linenumber", "l_shipdate")
@@ -113,10 +134,66 @@ def _pages(spark, at):
     """lineitem in small row groups and pages, so that there is something to skip."""
     path = new_path(spark, "lineitem-pages")
     df = spark.read.parquet(at("lineitem")).select("l_orderkey", "l_quantity", "l_returnflag")
-    write_table(df.coalesce(1), path, WriteOptions(row_group_bytes=1 << 14, page_bytes=1 << 12, page_rows=500, sorting=(("l_orderkey", False, True),)))
+    write_table(df.repartitionByRange("l_orderkey"), path, WriteOptions(row_group_bytes=1 << 14, page_bytes=1 << 12, page_rows=500, sorting=(("l_orderkey", False, True),)))
     return path
 
 
+def _order_pages(spark, at):
+    """Orders routed by ranges of keys, in pages of 100 rows: pages that SQL can number."""
+    path = new_path(spark, "order-pages")
+    orders = spark.read.parquet(at("orders")).select("o_orderkey", "o_totalprice")
+    write_dataset(orders, path, F.floor(F.col("o_orderkey") / 4000).cast("long"), order=("o_orderkey", "o_totalprice"), options=WriteOptions(page_rows=100, dictionary="off", codec="none"), max_rows=1_000_000)
+    return path
+
+
+def _part(path):
+    return F.regexp_extract(path, r"part=(\d+)/", 1).cast("long")
+
+
+def _held_in_kept(spark, path, df, test):
+    """How many rows match test in the pages that its report keeps for all of its columns, and in row groups kept."""
+    rows = with_positions(df).where(test.rows()).select(F.col("file_path").alias("path"), F.col("row_index").alias("i"))
+    groups = relation(spark, "row_groups", path).select("path", "row_group", "first_row", "rows")
+    kept = row_group_report(spark, test, path).where("kept").select("path", "row_group")
+    ranges = groups.join(kept, ["path", "row_group"]).select("path", F.col("first_row").alias("low"), (F.col("first_row") + F.col("rows")).alias("high"))
+    pages = page_report(spark, test, path).where("kept").select("path", "row_group", "column", F.col("first_row").alias("at"), F.col("rows").alias("n"))
+    spans = pages.join(groups.select("path", "row_group", "first_row"), ["path", "row_group"]).select("path", "column", (F.col("first_row") + F.col("at")).alias("low"), (F.col("first_row") + F.col("at") + F.col("n")).alias("high"))
+    inside = lambda r, s: (r["path"] == s["path"]) & (r["i"] >= s["low"]) & (r["i"] < s["high"])
+    found = rows.join(ranges, inside(rows, ranges), "left_semi")
+    for name in sorted(test.columns):
+        some = spans.where(F.col("column") == name)
+        found = found.join(some, inside(found, some), "left_semi")
+    return found.agg(F.count("*").alias("matching"))
+
+
+_TYPED = "SELECT o_orderkey, o_orderkey + 9007199254740990 AS big, CAST(o_totalprice AS DECIMAL(12,2)) AS price, CAST(o_orderdate AS DATE) AS day, o_orderdate AS moment, CASE WHEN o_orderkey % 50 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS real, o_orderpriority AS text FROM orders"
+_TYPED_TESTS = {
+    "big": (Test("big", "<", 9007199254740993), "big < 9007199254740993"),
+    "big_float": (Test("big", "=", 9007199254740992.0), "big::DOUBLE = 9007199254740992.0::DOUBLE"),
+    "price": (Test("price", "<=", Decimal("50000.25")), "price <= 50000.25"),
+    "price_whole": (Test("price", ">", 300000), "price > 300000"),
+    "day": (Test("day", "<", datetime.date(1993, 3, 1)), "day < DATE '1993-03-01'"),
+    "moment": (Test("moment", ">=", datetime.datetime(1997, 6, 1)), "moment >= TIMESTAMP '1997-06-01'"),
+    "nan_is_greatest": (Test("real", ">", 400000.0), "real > 400000 OR isnan(real)"),
+    "text": (All((Test("text", ">=", "4"), Test("o_orderkey", "<", 900))), "text >= '4' AND o_orderkey < 900"),
+    "either": (Any((Test("price", "<", Decimal("2000")), Test("o_orderkey", "in", (5, 6, 7)))), "price < 2000 OR o_orderkey IN (5, 6, 7)"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS test, count(*) AS matching FROM ({_TYPED}) WHERE {sql}" for name, (_, sql) in _TYPED_TESTS.items()))
+def prune_types(spark, at):
+    """No match is lost to pages or row groups that are skipped, whatever the type."""
+    path = new_path(spark, "typed")
+    nan = F.when(F.col("o_orderkey") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    df = spark.read.parquet(at("orders")).select("o_orderkey", (F.col("o_orderkey") + 9007199254740990).alias("big"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderdate").alias("moment"), nan.alias("real"), F.col("o_orderpriority").alias("text"))
+    write_table(df.repartitionByRange("o_orderkey"), path, WriteOptions(row_group_bytes=1 << 14, page_rows=100, sorting=(("o_orderkey", False, True),)))
+    out = None
+    for name, (test, _) in _TYPED_TESTS.items():
+        one = _held_in_kept(spark, path, spark.read.parquet(path), test).withColumn("test", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT count(*) AS matching FROM lineitem WHERE l_orderkey >= 1000 AND l_orderkey < 3000")
 def pages_kept_hold_all_matches(spark, at):
     path = _pages(spark, at)
@@ -134,9 +211,14 @@ def row_groups_report(spark, at):
     return report.agg(F.bool_or(~F.col("kept")).alias("some_skipped"), F.bool_or("kept").alias("some_kept"), F.sum("rows").alias("rows"))
 
 
-@query()
+_PAGES_OF_ORDERS = "SELECT part, name, n // 100 AS page, count(*) AS rows, min(x) AS low, max(x) AS high FROM (SELECT o_orderkey // 4000 AS part, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey, o_totalprice) - 1 AS n, o_orderkey, o_totalprice FROM orders) CROSS JOIN LATERAL (SELECT 'o_orderkey' AS name, o_orderkey::DOUBLE AS x UNION ALL SELECT 'o_totalprice', o_totalprice) GROUP BY ALL"
+_ORDERS_ASKED = All((Test("o_orderkey", ">=", 1000), Test("o_orderkey", "<", 3000), Test("o_totalprice", ">", 100000)))
+
+
+@query(f"SELECT part, name AS \"column\", page::INTEGER AS page, page * 100 AS first_row, rows, low AS min_double, high AS max_double, CASE WHEN name = 'o_orderkey' THEN high >= 1000 AND low < 3000 ELSE high > 100000 END AS kept FROM ({_PAGES_OF_ORDERS})")
 def prune_report(spark, at):
-    return page_report(spark, RANGE, _pages(spark, at)).select("row_group", "column", "page", "first_row", "rows", "min_double", "max_double", "kept")
+    report = page_report(spark, _ORDERS_ASKED, _order_pages(spark, at))
+    return report.select(_part(F.col("path")).alias("part"), "column", "page", "first_row", "rows", "min_double", "max_double", "kept")
 
 
 @query("SELECT o_orderkey AS key, true AS found FROM orders WHERE o_orderkey IN (1, 3, 5) UNION ALL SELECT -1, false")
@@ -144,12 +226,12 @@ def bloom_probe(spark, at):
     path = new_path(spark, "orders-bloom")
     wanted = contract(column("o_orderkey", "long?", bloom=True, bloom_ndv=200_000, encodings=("PLAIN",)), column("o_totalprice", "double?"))
     write_table(spark.read.parquet(at("orders")).select("o_orderkey", "o_totalprice"), path, wanted=wanted)
-    there = [r.o_orderkey for r in spark.read.parquet(at("orders")).where("o_orderkey in (1, 3, 5)").select("o_orderkey").collect()]
     answers = None
-    for key in [*there, -1]:
+    for key in (1, 3, 5, -1):
         one = bloom_report(spark, "o_orderkey", key, path).agg(F.lit(key).cast("long").alias("key"), F.bool_or("might_contain").alias("found"))
         answers = one if answers is None else answers.unionByName(one)
-    return answers
+    there = spark.read.parquet(path).select(F.col("o_orderkey").alias("key"))
+    return answers.join(there, "key", "left_semi").unionByName(answers.where("key = -1"))
 
 
 # statistics
@@ -203,12 +285,12 @@ def statistics_distinct_if_constant(spark, at):
     return column_statistics(df).select("column", "distinct_count", "min_double")
 
 
-_LISTS = "CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 5 = 1 THEN []::FLOAT[] ELSE list_transform(embedding[1:3], lambda x: CASE WHEN x >= 0 THEN x END) END"
+_LISTS = "CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 5 = 1 THEN []::FLOAT[] ELSE list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN x END) END"
 
 
 def _lists(spark, at):
     df = spark.read.parquet(at("embeddings"))
-    some = F.transform(F.slice("embedding", 1, 3), lambda x: F.when(x >= 0, x))
+    some = F.transform("embedding", lambda x: F.when(x >= 0, x))
     return df.select("vec_id", F.when(F.col("vec_id") % 5 == 0, None).when(F.col("vec_id") % 5 == 1, F.array().cast("array<float>")).otherwise(some).alias("xs"))
 
 
@@ -254,19 +336,29 @@ def metadata_totals(spark, at):
     return found.agg(F.sum("rows").alias("rows"), F.sum("values").alias("values"), (F.sum("compressed_bytes") < F.sum("bytes")).alias("compressed"))
 
 
-@query()
+@query(f"SELECT part, name AS \"column\", page::INTEGER AS page, 'DATA_PAGE' AS page_type, rows AS \"values\", 'PLAIN' AS encoding FROM ({_PAGES_OF_ORDERS})")
 def metadata_page_headers(spark, at):
-    return relation(spark, "page_headers", at("orders")).select("row_group", "column", "page", "page_type", "values", "encoding")
+    return relation(spark, "page_headers", _order_pages(spark, at)).select(_part(F.col("path")).alias("part"), "column", "page", "page_type", "values", "encoding")
 
 
-@query()
+@query("SELECT 'owner' AS key, 'lamella' AS value UNION ALL SELECT 'note', '' UNION ALL SELECT 'rows', count(*)::VARCHAR FROM orders")
 def metadata_key_values(spark, at):
-    return relation(spark, "key_values", at("orders")).select("ordinal", "key", "value")
+    path, orders = new_path(spark, "keyed"), spark.read.parquet(at("orders"))
+    write_arrow(orders, path, ArrowOptions(key_values=(("owner", "lamella"), ("note", ""), ("rows", str(orders.count())))))
+    return relation(spark, "key_values", path).select("key", "value").distinct()
 
 
-@query()
+@query("SELECT 0 AS position, 'o_totalprice' AS \"column\", true AS descending, false AS nulls_first, 0::BIGINT AS unsorted, count(*) AS rows FROM orders UNION ALL SELECT 1, 'o_orderkey', false, true, 0, count(*) FROM orders")
 def metadata_sorting_columns(spark, at):
-    return relation(spark, "sorting_columns", at("orders")).select("row_group", "position", "column", "descending", "nulls_first")
+    """What the footers declare, and how many rows of the files break it."""
+    from pyspark.sql import Window
+
+    path = new_path(spark, "sorted")
+    write_arrow(spark.read.parquet(at("orders")), path, ArrowOptions(row_group_bytes=1 << 16, sorting=(("o_totalprice", True, False), ("o_orderkey", False, True))))
+    rows = with_positions(spark.read.parquet(path))
+    before = F.lag("o_totalprice").over(Window.partitionBy("file_path").orderBy("row_index"))
+    held = rows.withColumn("before", before).agg(F.count_if(F.col("before") < F.col("o_totalprice")).alias("unsorted"), F.count("*").alias("rows"))
+    return relation(spark, "sorting_columns", path).select("position", "column", "descending", "nulls_first").distinct().crossJoin(F.broadcast(held))
 
 
 @query("SELECT 0 AS ordinal, 'owner' AS key, 'a' AS value UNION ALL SELECT 1, 'note', NULL UNION ALL SELECT 2, 'owner', 'b'")
@@ -293,9 +385,8 @@ def convert_epoch_to_times(spark, at):
     return spark.read.parquet(at("events")).select("event_id", back(n * 86399999, "millis").alias("from_millis"), back(n * 1234567, "micros").alias("from_micros"), back(n * 1234567, "nanos").alias("from_nanos"))
 
 
-@query("SELECT event_id, CAST(floor((event_id * 8639999) / 1000.0) AS BIGINT) AS millis, event_id * 8639999 AS micros FROM events WHERE event_id < 10000")
+@query("SELECT event_id, micros // 1000 AS millis, micros FROM (SELECT event_id, event_id * 8639999 % 86400000000 AS micros FROM events)")
 def convert_time_of_day(spark, at):
-    # every event has a time inside the day; the SQL stops at id 10000, where the product leaves the day
     micros = F.pmod(F.col("event_id") * 8639999, F.lit(86_400_000_000))
     return spark.read.parquet(at("events")).select("event_id", convert.time_of_day(micros, "millis").alias("millis"), convert.time_of_day(micros, "micros").alias("micros"))
 
@@ -436,16 +527,59 @@ def write_nested(spark, at):
     return back.select("vec_id", F.get("embedding", F.lit(4)).alias("fifth"), F.size("embedding").cast("long").alias("n"), "label")
 
 
-@query("SELECT c_custkey AS id, c_name AS label FROM customer")
+_WRITTEN = {
+    "zstd": (WriteOptions(codec="zstd", codec_level=6, page_version=2, dictionary="off"), "ZSTD", "DATA_PAGE_V2", False),
+    "gzip": (WriteOptions(codec="gzip", codec_level=9, page_checksums=True, sorting=(("o_totalprice", True, False),)), "GZIP", "DATA_PAGE", True),
+    "none": (WriteOptions(codec="none"), "UNCOMPRESSED", "DATA_PAGE", False),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS written, '{codec}' AS codec, '{page}' AS page_type, {str(crc).lower()} AS checksums, count(*) * 6 AS \"values\" FROM orders" for name, (_, codec, page, crc) in _WRITTEN.items()))
+def write_properties(spark, at):
+    """What the files say of the options they were written with."""
+    out = None
+    for name, (options, *_) in _WRITTEN.items():
+        path = new_path(spark, "properties")
+        write_table(spark.read.parquet(at("orders")), path, options)
+        chunks = relation(spark, "column_chunks", path).agg(F.max("codec").alias("codec"), F.sum("values").alias("values"), F.count_distinct("codec").alias("codecs"))
+        pages = relation(spark, "page_headers", path).where("page_type like 'DATA%'").agg(F.max("page_type").alias("page_type"), F.bool_and(F.col("crc").isNotNull()).alias("checksums"))
+        one = chunks.where("codecs = 1").drop("codecs").crossJoin(F.broadcast(pages)).withColumn("written", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'o_orderkey' AS \"column\", 'ZSTD' AS codec, 'DELTA_BINARY_PACKED' AS encoding, 3 AS field_id, count(*) AS \"values\" FROM orders UNION ALL SELECT 'o_totalprice', 'BROTLI', 'BYTE_STREAM_SPLIT', 4, count(*) FROM orders UNION ALL SELECT 'o_orderpriority', 'UNCOMPRESSED', 'DELTA_LENGTH_BYTE_ARRAY', 5, count(*) FROM orders")
+def write_column_codecs(spark, at):
+    path = new_path(spark, "codecs")
+    wanted = contract(
+        column("o_orderkey", "long?", codec="zstd", codec_level=3, encodings=("DELTA_BINARY_PACKED",), field_id=3),
+        column("o_totalprice", "double?", codec="brotli", encodings=("BYTE_STREAM_SPLIT",), field_id=4),
+        column("o_orderpriority", "string?", codec="none", encodings=("DELTA_LENGTH_BYTE_ARRAY",), field_id=5),
+    )
+    write_arrow(spark.read.parquet(at("orders")), path, ArrowOptions(), wanted)
+    chunks = relation(spark, "column_chunks", path).groupBy("column", "codec").agg(F.sum("values").alias("values"))
+    pages = relation(spark, "page_headers", path).where("page_type like 'DATA%'").select("column", "encoding").distinct()
+    ids = relation(spark, "schema_nodes", path).where("leaf is not null").select("column", "field_id").distinct()
+    return chunks.join(pages, "column").join(ids, "column").select("column", "codec", "encoding", "field_id", "values")
+
+
+@query("SELECT count(*) AS rows, true AS rolled, true AS near FROM documents")
+def write_rollover_by_bytes(spark, at):
+    """Files end within a row group of the bytes that they are to have."""
+    path, most = new_path(spark, "rolled"), 1 << 16
+    files = write_arrow(spark.read.parquet(at("documents")), path, ArrowOptions(codec="none", dictionary="off", file_bytes=most))
+    real = relation(spark, "files", path).agg(F.sum("rows").alias("rows"), (F.count("*") > 1).alias("rolled"))
+    return real.crossJoin(F.broadcast(files.agg((F.percentile("bytes", 0.5) < 3 * most).alias("near"))))
+
+
+@query("SELECT c_custkey AS id, c_name AS label, 7 AS first_id, 9 AS second_id FROM customer")
 def write_field_ids(spark, at):
     path = new_path(spark, "field-ids")
     old = contract(column("c_custkey", "long?", field_id=7), column("c_name", "string?", field_id=9))
     new = contract(column("id", "long?", field_id=7), column("label", "string?", field_id=9))
-    df = spark.read.parquet(at("customer")).select("c_custkey", "c_name")
-    for flag in ("write", "read"):
-        spark.conf.set(f"spark.sql.parquet.fieldId.{flag}.enabled", "true")
-    df.select(*(F.col(c.name).alias(c.name, metadata={"parquet.field.id": c.field_id}) for c in old.columns)).write.parquet(path)
-    return spark.read.schema(new.schema()).parquet(path)
+    write_table(spark.read.parquet(at("customer")), path, wanted=old)
+    ids = relation(spark, "schema_nodes", path).agg(F.max(F.when(F.col("name") == "c_custkey", F.col("field_id"))).alias("first_id"), F.max(F.when(F.col("name") == "c_name", F.col("field_id"))).alias("second_id"))
+    return scan(spark, new, path, mode="field_id").crossJoin(F.broadcast(ids))
 
 
 @query("SELECT event_type AS part, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
@@ -466,6 +600,16 @@ def route_rollover_and_append(spark, at):
     return ordered.groupBy("part").agg(F.sum("n").alias("rows"), F.count("*").alias("files"), F.bool_and("ok").alias("in_order"))
 
 
+@query("SELECT count(*) AS rows FROM events")
+def observe_written_rows(spark, at):
+    """How many rows a write passed on, told by the write itself."""
+    from pyspark.sql import Observation
+
+    seen = Observation("written")
+    write_table(observed_rows(spark.read.parquet(at("events")), seen), new_path(spark, "observed"))
+    return spark.createDataFrame([(seen.get["rows"],)], "rows long")
+
+
 @query(f"{_ALL_ORDERS} UNION ALL {_ALL_ORDERS} WHERE o_orderkey % 2 = 0")
 def append_then_read(spark, at):
     path = new_path(spark, "appended")

@@ -1,12 +1,14 @@
 """Metadata of files as DataFrames.
 
 The list of files is the only thing that passes the driver; executors read the footers, indexes and
-headers, never the data pages. A value of statistics is given as a double (numbers, booleans) and as text.
+headers, never the data pages. A bound of the statistics is given as it stands in the file, and to look at
+as a double (numbers, booleans; days or units since the epoch) and as text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from lamella.sources.footer import CODECS, ENCODINGS, ORDERS, PAGES, Node, Parqu
 FILES = "path string, version int, footer_offset long, footer_length long, file_bytes long, created_by string, rows long, row_groups int, columns int"
 NODES = "path string, ordinal int, parent int, name string, column string, kind string, repetition string, physical_type string, type_length int, logical_type string, children int, field_id int, max_repetition_level int, max_definition_level int, leaf int"
 ROW_GROUPS = "path string, row_group int, first_row long, rows long, columns int, bytes long, compressed_bytes long, file_offset long, sorting_columns int"
-_BOUNDS = "min_double double, max_double double, min_text string, max_text string"
+_BOUNDS = "min_double double, max_double double, min_text string, max_text string, min_bytes binary, max_bytes binary"
 CHUNKS = f"path string, row_group int, leaf int, column string, physical_type string, logical_type string, codec string, encodings array<string>, values long, rows long, null_count long, nan_count long, distinct_count long, {_BOUNDS}, min_exact boolean, max_exact boolean, data_offset long, dictionary_offset long, compressed_bytes long, bytes long, has_column_index boolean, has_offset_index boolean, has_bloom_filter boolean, bloom_offset long, bloom_length int"
 DATA_PAGES = f"path string, row_group int, leaf int, column string, page int, offset long, compressed_bytes long, first_row long, rows long, null_page boolean, null_count long, {_BOUNDS}, boundary_order string, indexed boolean"
 PAGE_HEADERS = "path string, row_group int, leaf int, column string, page int, page_type string, offset long, header_bytes int, compressed_bytes long, bytes long, values long, encoding string, crc int"
@@ -28,9 +30,9 @@ SORTING = "path string, row_group int, position int, leaf int, column string, de
 
 def _bounds(node: Node, low: bytes | None, high: bytes | None) -> tuple:
     values = [decode_bound(node, x) for x in (low, high)]
-    numbers = [float(v) if isinstance(v, (int, float, bool)) else None for v in values]
+    numbers = [float(v) if isinstance(v, (int, float, bool, Decimal)) else None for v in values]
     texts = [v.decode("utf-8", "replace") if isinstance(v, bytes) else None if v is None else str(v) for v in values]
-    return (*numbers, *texts)
+    return (*numbers, *texts, low, high)
 
 
 def files_rows(f: ParquetFile) -> Iterator[tuple]:
@@ -51,16 +53,33 @@ def row_group_rows(f: ParquetFile) -> Iterator[tuple]:
         first += g.get(3) or 0
 
 
-def chunk_rows(f: ParquetFile) -> Iterator[tuple]:
-    for i, g in enumerate(f.row_groups()):
+def chunk_bounds(f: ParquetFile) -> Iterator[tuple]:
+    """Column, raw bounds, rows, nulls and NaNs of each chunk, in the order of chunk_rows()."""
+    for g in f.row_groups():
         for n, c in zip(f.footer.leaves, f.chunks(g), strict=True):
             s = c.get(12) or {}
             # the older bounds are in signed order: right for neither text nor unsigned numbers
             old = n.physical not in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY", "INT96") and "unsigned" not in (n.logical or "")
             low, high = s.get(6, s.get(2) if old else None), s.get(5, s.get(1) if old else None)
+            yield n, low, high, g.get(3), s.get(3), s.get(9)
+
+
+def chunk_rows(f: ParquetFile) -> Iterator[tuple]:
+    bounds = chunk_bounds(f)
+    for i, g in enumerate(f.row_groups()):
+        for c in f.chunks(g):
+            n, low, high, rows, nulls, nans = next(bounds)
+            s = c.get(12) or {}
             encodings = [name(ENCODINGS, e) for e in c.get(2) or []]
             chunk = c["chunk"]
-            yield (f.uri, i, n.leaf, ".".join(n.path), n.physical, n.logical, name(CODECS, c.get(4)), encodings, c.get(5), g.get(3), s.get(3), s.get(9), s.get(4), *_bounds(n, low, high), s.get(8), s.get(7), c.get(9), c.get(11), c.get(7), c.get(6), bool(chunk.get(6)), bool(chunk.get(4)), bool(c.get(14)), c.get(14), c.get(15))
+            yield (f.uri, i, n.leaf, ".".join(n.path), n.physical, n.logical, name(CODECS, c.get(4)), encodings, c.get(5), rows, nulls, nans, s.get(4), *_bounds(n, low, high), s.get(8), s.get(7), c.get(9), c.get(11), c.get(7), c.get(6), bool(chunk.get(6)), bool(chunk.get(4)), bool(c.get(14)), c.get(14), c.get(15))
+
+
+def page_bounds(f: ParquetFile) -> Iterator[tuple]:
+    """Column, raw bounds, rows and nulls of each page, in the order of page_rows()."""
+    at = {x.partition(" ")[0]: i for i, x in enumerate(DATA_PAGES.split(", "))}
+    for row in page_rows(f):
+        yield f.footer.leaves[row[at["leaf"]]], row[at["min_bytes"]], row[at["max_bytes"]], row[at["rows"]], row[at["null_count"]]
 
 
 def page_rows(f: ParquetFile) -> Iterator[tuple]:
@@ -77,10 +96,10 @@ def page_rows(f: ParquetFile) -> Iterator[tuple]:
                     if index:
                         empty = index[1][k]
                         nulls = index[5][k] if 5 in index else None
-                        bounds = (None,) * 4 if empty else _bounds(n, index[2][k], index[3][k])
+                        bounds = (None,) * 6 if empty else _bounds(n, index[2][k], index[3][k])
                         yield (*column, k, p[1], p[2], starts[k], rows, empty, nulls, *bounds, name(ORDERS, index.get(4)), True)
                     else:
-                        yield (*column, k, p[1], p[2], starts[k], rows, None, None, *(None,) * 4, None, True)
+                        yield (*column, k, p[1], p[2], starts[k], rows, None, None, *(None,) * 6, None, True)
                 continue
             first, k = 0, 0
             for at, h, length in f.page_headers(c):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +21,6 @@ def stream_dataset(rows: DataFrame, path: str, route: Column, checkpoint: str, p
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def observed_rows(df: DataFrame, name: str = "written") -> DataFrame:
-    """df that reports how many rows pass, to a listener or an Observation of that name."""
+def observed_rows(df: DataFrame, name: str | Observation = "written") -> DataFrame:
+    """df that reports how many rows pass, to a listener of that name or to an Observation."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))

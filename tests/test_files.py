@@ -2,6 +2,7 @@
 
 import datetime
 import os
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 
 from lamella.errors import ContractError, CorruptFileError, UnsupportedError
 from lamella.operators.compaction import append, compact, in_order, merge, merge_metadata, tail_files
-from lamella.operators.dataset import write_dataset
+from lamella.operators.arrow_sink import ArrowOptions, write_arrow
+from lamella.operators.dataset import rows_in, write_dataset
 from lamella.operators.sink import WriteOptions, options_of, refuse, write_table
 from lamella.plans.contract import Column, column, contract
 from lamella.plans.evolution import Evolution
-from lamella.plans.pruning import All, Any, Test, bloom_report, page_report, row_group_report
+from lamella.plans.pruning import All, Any, Bounds, Test, bloom_report, page_report, row_group_report
 from lamella.sources.footer import ParquetFile
-from lamella.sources.relations import relation
+from lamella.sources.relations import page_bounds, page_rows, relation
 from lamella.sources.scan import file_schemas, needs_row_reader, scan
 
 REQUIRED = lambda name, kind: pa.field(name, kind, nullable=False)
@@ -57,6 +59,17 @@ def test_missing_columns_by_file(spark, tmp_path):
     assert len(file_schemas(spark, str(tmp_path / "t"))) == 2
 
 
+def test_places_are_those_of_each_file(spark, tmp_path):
+    os.mkdir(tmp_path / "t")
+    put(tmp_path / "t/x.parquet", pa.table({"a": [1], "b": [2]}))
+    put(tmp_path / "t/y.parquet", pa.table({"b": [1], "a": [2], "c": [9]}))
+    wanted = contract(column("first", "long?"), column("second", "long?"))
+    assert [tuple(r) for r in scan(spark, wanted, str(tmp_path / "t"), mode="position").collect()] == [(1, 2)] * 2
+    assert [tuple(r) for r in scan(spark, wanted, str(tmp_path / "t"), mode="position", projection=["second"]).collect()] == [(2,)] * 2
+    with pytest.raises(ContractError):
+        scan(spark, contract(column("a", "long?", field_id=4)), str(tmp_path / "t"), mode="field_id")
+
+
 def test_position_mode(spark, numbers):
     wanted = contract(column("first", "int"), column("second", "int?"))
     assert scan(spark, wanted, numbers, mode="position").columns == ["first", "second"]
@@ -127,6 +140,46 @@ def test_pruning_is_conservative(spark, tmp_path):
     assert skipped > 100
 
 
+def test_pruning_loses_no_row_of_any_type(spark, tmp_path):
+    n, random = 400, np.random.default_rng(3)
+    x = np.sort(random.integers(-500, 500, n))
+    base = datetime.datetime(2001, 2, 3)
+    table = pa.table({
+        "dec": pa.array([Decimal(int(v)).scaleb(-2) for v in x], pa.decimal128(10, 2)), "wide": pa.array([Decimal(int(v)).scaleb(-30) for v in x], pa.decimal128(38, 30)),
+        "big": pa.array([int(v) + (1 << 53) for v in x], pa.int64()), "small": pa.array([int(v) % 100 for v in x], pa.uint8()),
+        "day": pa.array([base.date() + datetime.timedelta(int(v)) for v in x]), "at": pa.array([base + datetime.timedelta(microseconds=int(v)) for v in x], pa.timestamp("us")),
+        "ms": pa.array([base + datetime.timedelta(milliseconds=int(v)) for v in x], pa.timestamp("ms", "UTC")), "bin": pa.array([bytes([128 + int(v) % 100, 7]) for v in x], pa.binary()),
+        "real": pa.array([float("nan") if i % 40 == 3 else v / 3 for i, v in enumerate(x)], pa.float64()), "half": pa.array([None if i % 7 == 0 else np.float32(v / 3) for i, v in enumerate(x)], pa.float32()),
+        "flag": pa.array([v > 0 for v in x]), "s": pa.array([f"é{int(v):+05d}" for v in x]), "st": pa.array([{"dec": 1} for _ in x]),
+    })
+    path = put(tmp_path / "t.parquet", table, row_group_size=100, data_page_size=1, write_batch_size=20, use_dictionary=False, write_page_index=True)
+    values = {
+        "dec": [Decimal("0.05"), Decimal("-1.2345"), 0, 3, 0.05, 5.0, None], "wide": [Decimal("1e-29"), 0, 1e-29], "big": [(1 << 53) + 1, float(1 << 53), Decimal((1 << 53) + 1), 0], "small": [7, 99.0],
+        "day": [base.date(), datetime.datetime(2001, 2, 3)], "at": [base, base + datetime.timedelta(microseconds=7)], "ms": [base, base.replace(tzinfo=datetime.timezone.utc)], "bin": [b"\x90", b"\xff", b""],
+        "real": [1.0, 100.0, 0, float("nan"), float("inf")], "half": [1.0, 16777217, 0.1], "flag": [True, False], "s": ["é+0001", "é", "z"],
+    }
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("i"))
+    skipped = 0
+    for column, some in values.items():
+        tests = [Test(column, op, v) for v in some for op in ("=", "<", "<=", ">", ">=")] + [Test(column, "in", tuple(some)), Any((Test(column, "=", some[0]), Test("flag", "=", True)))]
+        hits = rows.select("i", *(F.coalesce(t.rows(), F.lit(False)).alias(f"t{k}") for k, t in enumerate(tests))).collect()
+        with ParquetFile(f"file://{path}") as f:
+            bounds, starts = list(zip(page_rows(f), page_bounds(f), strict=True)), [100 * i for i in range(4)]
+            for k, t in enumerate(tests):
+                matching = {r.i for r in hits if r[f"t{k}"]}
+                for row, (node, low, high, count, nulls) in bounds:
+                    if node.name == column and len(node.path) == 1:
+                        kept = t.may_match({column: Bounds(node, low, high, count, nulls)})
+                        first = starts[row[1]] + row[7]
+                        skipped += not kept
+                        assert kept or not matching & set(range(first, first + count)), (t, first)
+        for t in tests[::4]:
+            matching = {r.i for r in hits if r[f"t{tests.index(t)}"]}
+            for g in row_group_report(spark, t, path).collect():
+                assert g.kept or not matching & set(range(g.row_group * 100, g.row_group * 100 + 100)), t
+    assert skipped > 500
+
+
 def test_filters_are_pushed_down(spark, numbers):
     plan = spark.read.parquet(numbers).where(All((Test("id", ">=", 4),)).rows()).select("name")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(id,4)" in plan and "ReadSchema: struct<id:int,name:string>" in plan
@@ -172,7 +225,7 @@ def test_checksums_find_flipped_bytes(spark, tmp_path):
     if os.path.exists(crc):
         os.remove(crc)
     with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
-        spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(path).agg(F.sum("id")).collect()
+        scan(spark, contract(column("id", "long")), path, verify_checksums=True, mode="position").agg(F.sum("id")).collect()
 
 
 def test_files_for_the_row_reader(spark, tmp_path):
@@ -181,12 +234,10 @@ def test_files_for_the_row_reader(spark, tmp_path):
     delta = put(tmp_path / "delta.parquet", table, use_dictionary=False, compression="none", column_encoding={"x": "PLAIN", "s": "DELTA_BYTE_ARRAY"})
     plain = put(tmp_path / "plain.parquet", table)
     assert [needs_row_reader(spark, p) for p in (split, delta, plain)] == [True, True, False]
-    try:
-        spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
-        for path in (split, delta):
-            assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1.5, "a"), (2.5, "b")]
-    finally:
-        spark.conf.set("spark.sql.parquet.enableVectorizedReader", "true")
+    wanted = contract(column("x", "double?"), column("s", "string?"))
+    for path in (split, delta):
+        assert sorted(map(tuple, scan(spark, wanted, path, row_reader=True).collect())) == [(1.5, "a"), (2.5, "b")]
+    assert spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true"
 
 
 def test_writer_refusals():
@@ -203,6 +254,70 @@ def test_writer_refusals():
         refuse("append in place")
 
 
+ARROW = "id int, s string, l array<double>, m map<string,int>, t struct<a:int,b:string>, b binary, d date, n decimal(20,3), ts timestamp, nt timestamp_ntz"
+
+
+@pytest.mark.parametrize("options", [ArrowOptions(codec=c, page_version=v, dictionary=d) for c, v, d in (("none", 1, "off"), ("gzip", 2, "maybe"), ("brotli", 1, "forced"), ("zstd", 2, "off"), ("lz4_raw", 1, "maybe"))])
+def test_arrow_writer_round_trip(spark, tmp_path, options):
+    now = datetime.datetime(2020, 1, 2, 3, 4, 5, 678901)
+    rows = [(1, "a", [1.5, None], {"k": 1}, (1, "x"), b"\x00\xff", datetime.date(1969, 1, 1), Decimal("-1.125"), now, now), (2, *[None] * 9), (3, "", [], {}, (None, None), b"", datetime.date(2100, 1, 1), Decimal(0), now, now)]
+    df = spark.createDataFrame(rows, ARROW).repartition(2)
+    path = str(tmp_path / "w")
+    written = write_arrow(df, path, options, mode="append")
+    assert written.agg(F.sum("rows")).first()[0] == 3 and not [n for n in os.listdir(path) if n.startswith("_temporary")]
+    if options.codec == "brotli":  # no codec of Spark's
+        assert sorted(pq.read_table(path)["id"].to_pylist()) == [1, 2, 3]
+    else:
+        assert sorted(map(str, spark.read.schema(ARROW).parquet(path).collect())) == sorted(map(str, df.collect()))
+    assert {r.codec for r in relation(spark, "column_chunks", path).collect()} == {{"none": "UNCOMPRESSED", "lz4_raw": "LZ4_RAW"}.get(options.codec, options.codec.upper())}
+    encodings = {e for r in relation(spark, "column_chunks", path).where("column = 's'").collect() for e in r.encodings}
+    assert ("RLE_DICTIONARY" in encodings or "PLAIN_DICTIONARY" in encodings) == (options.dictionary != "off")
+
+
+def test_arrow_writer_sizes_orders_and_empty_tables(spark, tmp_path):
+    df = spark.range(40000).selectExpr("id", "sha2(cast(id as string), 256) as s").repartition(3)
+    path = str(tmp_path / "r")
+    files = write_arrow(df, path, ArrowOptions(codec="none", dictionary="off", file_bytes=200_000, page_indexes=False, sorting=(("id", True, False),))).collect()
+    assert sum(f.rows for f in files) == 40000 and len(files) > 10 and max(f.bytes for f in files) < 320_000
+    assert {f.name: f.bytes for f in files} == {n: os.path.getsize(f"{path}/{n}") for n in os.listdir(path) if n.endswith(".parquet")}
+    assert not relation(spark, "pages", path).where("indexed").count() and relation(spark, "sorting_columns", path).where("descending").count() >= len(files)
+    for f in files[:3]:
+        ids = pq.read_table(f"{path}/{f.name}")["id"].to_pylist()
+        assert ids == sorted(ids, reverse=True)
+    with pytest.raises(ContractError):
+        write_arrow(df, path)
+    write_arrow(df.limit(0), str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 0
+    with pytest.raises(Exception, match="(?i)null"):
+        write_arrow(spark.createDataFrame([(None,)], "x int"), str(tmp_path / "q"), wanted=contract(column("x", "int")))
+
+
+def test_arrow_writer_refusals():
+    for bad in ({"codec": "zip"}, {"codec": "snappy", "codec_level": 1}, {"dictionary": "some"}, {"page_version": 3}, {"file_bytes": 0}, {"key_values": (("", "x"),)}, {"key_values": (("a", "x"), ("a", "y"))}):
+        with pytest.raises(ContractError):
+            ArrowOptions(**bad)
+
+
+def test_rows_in_counts_bytes(spark):
+    df = spark.createDataFrame([("a", "x" * 996, [1, 2], None), ("b", "y" * 96, None, {"k": 1.0})], "r string, s string, l array<int>, m map<string,double>")
+    assert rows_in(df.where("r = 'a'"), 100_000, "r") == 100_000 // 1008
+    assert rows_in(df, 100_000, "r") == 100_000 // 1008  # the route with the widest rows
+    assert rows_in(df.limit(0), 10) == 10
+
+
+def test_merge_copies_files_byte_for_byte(spark, tmp_path):
+    parts = [str(tmp_path / f"c{k}") for k in range(2)]
+    for k, p in enumerate(parts):
+        write_table(spark.range(k * 10, k * 10 + 10).repartition(2), p, WriteOptions(codec="gzip"))
+    merge(spark, parts, str(tmp_path / "whole"))
+    sizes = lambda p: sorted(r.file_bytes for r in relation(spark, "files", p).collect())
+    assert sizes(str(tmp_path / "whole")) == sorted(sizes(parts[0]) + sizes(parts[1]))
+    ids = [r.id for r in in_order(spark, str(tmp_path / "whole")).orderBy("file_path", "row_index").collect()]
+    assert ids == [r.id for r in in_order(spark, *parts).orderBy("source", "file_path", "row_index").collect()]
+    with pytest.raises(ContractError):
+        merge(spark, parts, str(tmp_path / "whole"))
+
+
 def test_dataset_routes_orders_and_rolls(spark, tmp_path):
     path = str(tmp_path / "d")
     rows = [(i, f"r{i % 3}" if i % 10 else "rare") for i in range(500)]

@@ -180,3 +180,9 @@ def test_stream_is_written_once(spark, tmp_path):
     rows.where("i = 2").write.mode("append").parquet(source)
     stream_dataset(spark.readStream.schema(rows.schema).parquet(source), out, F.col("r"), progress).awaitTermination()
     assert spark.read.parquet(out).count() == 4
+
+
+def test_bounds_of_local_times(spark):
+    df = spark.sql("select timestamp_ntz'1969-12-31 23:59:59.5' t union all select timestamp_ntz'1970-01-01 00:00:01'")
+    row = column_statistics(df, "t").first()
+    assert (row.min_double, row.max_double) == (-500000.0, 1000000.0)
