@@ -5,7 +5,10 @@ blocks. Bounds from the set sizes keep the blocks small, and lose no pair:
 
 1. Texts with equal sets are one class; links are sought between classes.
 2. Shingles go, as packed bytes, to buckets by hash, where those that only one class has are dropped.
-   A class with fewer shared shingles than the bound on its overlap has no link and is dropped whole.
+   Of a shingle that HOT classes of one batch share, a bucket gets only their number: their list goes
+   elsewhere, spread over all tasks, and meets the count of the shingle in a join, so that no shingle
+   gathers its classes in one task. A class with fewer shared shingles than the bound on its overlap has
+   no link and is dropped whole.
 3. Two linked classes share one of their rarest shingles (a prefix whose length follows from the size
    bound; rarest first by exact counts over all texts). Classes that share a prefix shingle, in the same
    or neighbouring size bands, are candidates; a star for each shingle connects them.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.components import Forest, connected_components
 from lamella.llm.memory import give_back, text_runs
-from lamella.llm.shingles import set_key, shingle_sets
+from lamella.llm.shingles import mix, set_key, shingle_sets
 from lamella.llm.storage import materialize, release_table
 
 GRAM_BYTES = 7
@@ -36,7 +39,10 @@ GRAM_BYTES = 7
 #: each Python worker about 60 bytes a shingle, and give fewer, larger rows to shuffle.
 BUCKET_GRAMS = 1 << 20
 PACKED_GRAMS = 1 << 20
-BLOCK_ROWS = 2048
+#: A shingle that so many classes of a batch share is counted there.
+HOT = 16
+#: Rows and bytes of shingles of a block that is multiplied.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 64 << 20
 HUBS = 64
 DENSE = 48
 
@@ -68,6 +74,10 @@ def need(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // 100)
 
 
+COLD, COUNT, LIST = range(3)
+SHARED = "bucket int, kind byte, classes binary, sizes binary, counts binary, grams binary, classes_with binary"
+
+
 def set_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, n_shingles, class (null for texts without words) of every row."""
 
@@ -82,8 +92,12 @@ def set_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
-    """Shingles of each class once for each partition and batch, packed by bucket."""
-    names = ["bucket", "classes", "sizes", "counts", "grams"]
+    """Shingles of each class once for each partition and batch, packed by bucket.
+
+    Rows of COLD hold classes and their shingles. Rows of COUNT hold hot shingles, with how many classes have
+    each in counts. Rows of LIST hold one hot shingle and its classes, in any bucket.
+    """
+    names = ["bucket", "kind", "classes", "sizes", "counts", "grams"]
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -95,18 +109,39 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> Dat
             sizes = np.array([len(s) for _, s in held], np.uint32)
             grams = np.concatenate([s for _, s in held]) if held else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(held)), sizes)
+            out: list[list] = [[] for _ in names]
+
+            def add(*values) -> None:
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+
+            order = np.argsort(grams, kind="stable")
+            first, with_ = _runs(grams[order])
+            hot = with_ >= HOT
+            if hot.any():
+                spread = int(mix(keys[:1].view(np.uint64))[0])
+                where = _bucket(grams[order][first[hot]], buckets)
+                for k, (start, n) in enumerate(zip(first[hot].tolist(), with_[hot].tolist(), strict=True)):
+                    who = owner[order[start : start + n]]
+                    add((spread + k) % buckets, LIST, keys[who].tobytes(), sizes[who].tobytes(), b"", grams[order[start]].tobytes())
+                by_bucket = np.argsort(where, kind="stable")
+                values, numbers = grams[order][first[hot]][by_bucket], with_[hot][by_bucket].astype(np.uint32)
+                for start, n in zip(*_runs(where[by_bucket]), strict=True):
+                    part = slice(start, start + n)
+                    add(int(where[by_bucket][start]), COUNT, b"", b"", numbers[part].tobytes(), values[part].tobytes())
+                cold = np.ones(len(grams), bool)
+                cold[order[_ragged(first[hot], with_[hot])]] = False
+                owner, grams = owner[cold], grams[cold]
             place = _bucket(grams, buckets).astype(np.uint32)
             order = np.argsort(place, kind="stable")
             place, owner, grams = place[order], owner[order], grams[order]
-            out: list[list] = [[] for _ in names]
             for start, n in zip(*_runs(place), strict=True):
                 mine = owner[start : start + n]
                 first, counts = _runs(mine)
                 who = mine[first]
                 body = np.ascontiguousarray(grams[start : start + n]).view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
-                for column, value in zip(out, (int(place[start]), keys[who].tobytes(), sizes[who].tobytes(), counts.astype(np.uint32).tobytes(), body), strict=True):
-                    column.append(value)
-            return _rows(names, [pa.int32(), *[pa.binary()] * 4], out)
+                add(int(place[start]), COLD, keys[who].tobytes(), sizes[who].tobytes(), counts.astype(np.uint32).tobytes(), body)
+            return _rows(names, [pa.int32(), pa.int8(), *[pa.binary()] * 4], out)
 
         for batch in batches:
             for _, _, texts in text_runs(batch.column(0)):
@@ -121,29 +156,63 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> Dat
         yield flush()
         give_back()
 
-    return df.select(text_col).mapInArrow(packed, "bucket int, classes binary, sizes binary, counts binary, grams binary")
+    return df.select(text_col).mapInArrow(packed, "bucket int, kind byte, classes binary, sizes binary, counts binary, grams binary")
 
 
 def _unpack(table: pa.Table, kinds: dict) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in kinds.items()]
 
 
+def _packed_by_class(classes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, with_: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Occurrences of shingles (class, its size, shingle, how many classes have it) packed by bucket of the class."""
+    names = [x.split()[0] for x in SHARED.split(", ")]
+    place = _bucket(classes.view(np.uint64), buckets).astype(np.uint32)
+    order = np.lexsort((classes, place))
+    place, classes, sizes, grams, with_ = place[order], classes[order], sizes[order], grams[order], with_[order]
+    out: list[list] = [[] for _ in names]
+    for start, n in zip(*_runs(place), strict=True):
+        part = slice(start, start + n)
+        first, lengths = _runs(classes[part])
+        values = (int(place[start]), COLD, classes[part][first].tobytes(), sizes[part][first].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), grams[part].tobytes(), with_[part].astype(np.uint32).tobytes())
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+    return _rows(names, [pa.int32(), pa.int8(), *[pa.binary()] * 5], out)
+
+
 def _shared_grams(packed: DataFrame, buckets: int) -> DataFrame:
-    """Of each bucket, the shingles that two classes have, with their class counts, packed by class."""
-    names = ["bucket", "classes", "sizes", "counts", "grams", "classes_with"]
+    """Of each bucket, the shingles that two classes have, with their class counts, packed by class; the counts
+    of hot shingles; and the lists as they came. A table in the shared folder.
+    """
 
     def shared(key: tuple, table: pa.Table) -> pa.Table:
         give_back()
+        kinds = table.column("kind").to_numpy()
+        lists = table.filter(pa.array(kinds == LIST))
+        table, counted = table.filter(pa.array(kinds == COLD)), table.filter(pa.array(kinds == COUNT))
+        # of hot shingles: the sums of what batches counted
+        hot, numbers = _unpack(counted, {"grams": "<u8", "counts": "<u4"})
+        hot, which = np.unique(hot, return_inverse=True)
+        numbers = np.bincount(which, numbers, len(hot)).astype(np.int64)
         classes, sizes, counts = _unpack(table, {"classes": "<i8", "sizes": "<u4", "counts": "<u4"})
         raw = b"".join(table.column("grams").to_pylist())
         grams = np.zeros((len(raw) // GRAM_BYTES, 8), np.uint8)
         grams[:, :GRAM_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, GRAM_BYTES)
         grams = grams.view(np.uint64).ravel()
+        short = hot & np.uint64((1 << 8 * GRAM_BYTES) - 1)  # the bucket stands for the last byte
+        by_short = np.argsort(short)
+
+        def hot_place(values: np.ndarray) -> np.ndarray:
+            """Where the shingles are among the hot ones; -1 for others."""
+            if not len(hot):
+                return np.full(len(values), -1)
+            at = np.minimum(np.searchsorted(short[by_short], values), len(hot) - 1)
+            return np.where(short[by_short][at] == values, by_short[at], -1)
+
         row = np.repeat(np.arange(len(classes)), counts)
         order = np.argsort(grams)
         grams, row = grams[order], row[order]
         starts, lengths = _runs(grams)
-        several = lengths > 1
+        several = (lengths > 1) | (hot_place(grams[starts]) >= 0)
         keep = _ragged(starts[several], lengths[several])
         grams, row = grams[keep], row[keep]
         order = np.lexsort((classes[row], grams))
@@ -152,23 +221,50 @@ def _shared_grams(packed: DataFrame, buckets: int) -> DataFrame:
         new[1:] = (grams[1:] != grams[:-1]) | (classes[row[1:]] != classes[row[:-1]])
         grams, row = grams[new], row[new]
         starts, lengths = _runs(grams)
-        with_ = np.repeat(lengths, lengths)
+        at = hot_place(grams[starts])
+        also = np.flatnonzero(at >= 0)
+        numbers[at[also]] += lengths[also]
+        total = lengths.copy()
+        total[also] = numbers[at[also]]
+        with_ = np.repeat(total, lengths)
         grams, row, with_ = grams[with_ > 1], row[with_ > 1], with_[with_ > 1]
         grams = grams | (np.uint64(key[0].as_py() & 0xFF) << np.uint64(56))
-        owner = classes[row]
-        place = _bucket(owner.view(np.uint64), buckets).astype(np.uint32)
-        order = np.lexsort((owner, place))
-        place, owner, row, grams, with_ = place[order], owner[order], row[order], grams[order], with_[order]
-        out: list[list] = [[] for _ in names]
-        for start, n in zip(*_runs(place), strict=True):
-            part = slice(start, start + n)
-            first, lengths = _runs(owner[part])
-            values = (int(place[start]), owner[part][first].tobytes(), sizes[row[part][first]].tobytes(), lengths.astype(np.uint32).tobytes(), grams[part].tobytes(), with_[part].astype(np.uint32).tobytes())
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        return pa.Table.from_batches([_rows(names, [pa.int32(), *[pa.binary()] * 5], out)])
+        found = _packed_by_class(classes[row], sizes[row], grams, with_, buckets)
+        hot = short | (np.uint64(key[0].as_py() & 0xFF) << np.uint64(56))
+        n = len(hot)
+        nothing = [b""] * n
+        summed = _rows(found.schema.names, [f.type for f in found.schema], [[key[0].as_py()] * n, [COUNT] * n, nothing, nothing, nothing, [x.tobytes() for x in hot], [x.tobytes() for x in numbers.astype(np.uint32)]])
+        passed = lists.append_column("classes_with", pa.array([b""] * len(lists), pa.binary())).select(found.schema.names).cast(found.schema)
+        # lists name their shingle as buckets do
+        names = [_named(x.as_py(), buckets) for x in lists.column("grams")]
+        passed = passed.set_column(passed.schema.get_field_index("grams"), "grams", pa.array(names, pa.binary()))
+        return pa.concat_tables([pa.Table.from_batches([found, summed]), passed])
+
+    return materialize(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, SHARED), "shared")
+
+
+def _named(gram: bytes, buckets: int) -> bytes:
+    """A shingle with the last byte of its bucket in place of its own."""
+    value = np.frombuffer(gram, "<u8")
+    return gram[:GRAM_BYTES] + bytes([int(_bucket(value, buckets)[0]) & 0xFF])
+
+
+def _with_hot(shared: DataFrame, buckets: int) -> DataFrame:
+    """The packed occurrences of all shared shingles, also of hot ones: their lists, with their counts."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_py(), "<i8") for x in batch.column("classes")]
+            if lists:
+                times = [len(x) for x in lists]
+                sizes = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4")
+                each = lambda name, kind: np.repeat(np.frombuffer(b"".join(batch.column(name).to_pylist()), kind), times)  # noqa: E731, B023
+                yield _packed_by_class(np.concatenate(lists), sizes, each("grams", "<u8"), each("total", "<u4"), buckets)
 
-    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, grams binary, classes_with binary")
+    lists = shared.where(F.col("kind") == LIST).select("grams", "classes", "sizes")
+    counts = shared.where(F.col("kind") == COUNT).select("grams", F.col("classes_with").alias("total"))
+    # both sides are read from files, so adaptive execution can split the lists of one shingle
+    return shared.where(F.col("kind") == COLD).unionByName(lists.join(counts, "grams").mapInArrow(spread, SHARED))
 
 
 def _candidate_sets(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -181,6 +277,10 @@ def _candidate_sets(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
         owner = np.repeat(classes, counts)
         size = np.repeat(sizes, counts)
         order = np.lexsort((grams, with_, owner))
+        # a class whose text is in several tasks may have a shingle from each
+        new = np.ones(len(order), bool)
+        new[1:] = (owner[order[1:]] != owner[order[:-1]]) | (grams[order[1:]] != grams[order[:-1]])
+        order = order[new]
         owner, size, grams = owner[order], size[order], grams[order]
         out: list[list] = [[] for _ in names]
         for start, m in zip(*_runs(owner), strict=True):
@@ -198,8 +298,8 @@ def _candidate_sets(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
 def _candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: stars that connect all classes which share a prefix shingle and lie in near size bands.
 
-    A task links what it holds itself and passes on one class for each shingle and band, so that a shingle
-    of very many classes costs one row for each task.
+    A batch links what it holds itself and passes on one class for each shingle and band; of these the least
+    is found by partial aggregation, and joined to the others.
     """
     ratio = np.log(100 / percent) if percent < 100 else 1.0
 
@@ -224,8 +324,9 @@ def _candidate_links(sets: DataFrame, percent: int) -> DataFrame:
 
     found = materialize(sets.select("class", "n", "prefix").mapInArrow(stars, "gram long, band long, a long, b long"), "prefix")
     local = found.where("band < 0").select("a", "b")
-    met = found.where("band >= 0").groupBy("gram", "band").agg(F.collect_set("a").alias("classes")).where(F.size("classes") > 1)
-    across = met.select(F.explode("classes").alias("a"), F.array_min("classes").alias("b")).where("a <> b")
+    met = found.where("band >= 0").select("gram", "band", "a")
+    least = met.groupBy("gram", "band").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    across = met.join(materialize(least, "least"), ["gram", "band"]).where("a <> b").select("a", "b")
     return local.unionByName(across)
 
 
@@ -277,11 +378,13 @@ def _links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         found = list(_linked(table, percent))
         return pa.Table.from_batches([_rows(names, kinds, [[x for x, _ in found], [y for _, y in found]])])
 
-    sized = materialize(groups.groupBy("label").agg(F.count("*").alias("rows")), "groups")
-    placed = groups.join(sized, "label")
-    members = materialize(sets.select("class", "n", "grams").join(placed.withColumnRenamed("node", "class"), "class"), "members")
+    held = materialize(sets.select("class", "n", "grams").join(groups.withColumnRenamed("node", "class"), "class"), "members")
+    # rows counts as many as its bytes would fill: blocks are bounded in both
+    units = F.greatest(F.count("*"), F.ceil(F.sum(F.octet_length("grams")) * F.lit(BLOCK_ROWS / BLOCK_BYTES)))
+    sized = materialize(held.groupBy("label").agg(units.alias("rows"), (units / F.count("*")).alias("weight")), "groups")
+    members = held.join(sized, "label")
     small = members.where(F.col("rows") <= BLOCK_ROWS)
-    total = small.count()
+    total = int(sized.where(F.col("rows") <= BLOCK_ROWS).agg(F.sum("rows")).first()[0] or 0)
     together = F.pmod(F.xxhash64("label"), F.lit(max(1, total // (BLOCK_ROWS // 4))))
     found = small.withColumn("block", together).groupBy("block").applyInArrow(block, "a long, b long")
     large = members.where(F.col("rows") > BLOCK_ROWS)
@@ -294,9 +397,9 @@ def _links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     diagonal = large.withColumn("block", F.explode(F.when(hub, everywhere).otherwise(F.array(chunk))))
     first = materialize(found.unionByName(diagonal.groupBy("label", "block").applyInArrow(block, "a long, b long")), "links")
     joined = connected_components(first).withColumnRenamed("label", "part").withColumnRenamed("node", "class")
-    state = large.select("class", "label", "rows").join(joined, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    state = large.select("class", "label", "weight").join(joined, "class", "left").withColumn("part", F.coalesce("part", "class"))
     state = materialize(state, "state")
-    parts = state.groupBy("label", "part").count().groupBy("label").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("inside"))
+    parts = state.groupBy("label", "part").agg(F.ceil(F.sum("weight")).alias("count")).groupBy("label").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("inside"))
     parts = materialize(parts.where(F.col("all") > F.col("inside")), "parts")
     open_ = large.join(state.select("class", "part"), "class").join(parts, "label").withColumn("stray", F.col("part") != F.col("main")).drop("part", "main")
     half = BLOCK_ROWS // 2
@@ -322,7 +425,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_GRAMS))
     shared = _shared_grams(_packed_grams(df, text_col, width, buckets), buckets)
-    sets = materialize(_candidate_sets(shared, percent, buckets), "candidates")
+    sets = materialize(_candidate_sets(_with_hot(shared, buckets), percent, buckets), "candidates")
+    release_table(shared)
     groups = connected_components(_candidate_links(sets, percent))
     labels = connected_components(_links(sets, groups, percent))
     release_table(sets)

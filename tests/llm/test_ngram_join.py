@@ -86,3 +86,15 @@ def test_words_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(shingles, "_PIECE", 100)
     cut = word_hashes(data)
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+@pytest.mark.parametrize("hot", [2, 16, 10**6])
+def test_shingles_of_every_document_in_any_batch(spark, monkeypatch, hot):
+    """A passage that all texts share, equal texts in several tasks, and very small batches and blocks."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "PACKED_GRAMS", 2000)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1 << 14)
+    texts = {k: " ".join(f"common{i}" for i in range(30)) + " " + t for k, t in near_copies(11, 60, 12).items()}
+    texts |= {10**10 + i: t for i, t in enumerate(list(texts.values())[::3])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    assert result(jaccard_components(df)) == brute_force(texts)
