@@ -170,7 +170,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return others.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k_search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2048, candidate_block: int = 16384) -> DataFrame:
+def top_k_search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2048, candidate_block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k candidates with the highest inner product for each
     row of df where is_query holds, ties to the smaller id; all candidates where fewer than k exist.
 
