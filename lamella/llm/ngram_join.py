@@ -17,7 +17,8 @@ blocks. Bounds from the set sizes keep the blocks small, and lose no pair:
    Groups beyond one block are multiplied first along the diagonal, with some common rows in each block;
    only rows that stay outside the largest component are then multiplied with all others.
 
-Keys of classes are 64-bit hashes: among N distinct sets some two coincide with chance N*N/2**65.
+Keys of classes are 64-bit hashes with 64-bit checks beside them. If two sets with different checks have one
+key, all keys are formed anew with another seed, so that only sets equal in 128 bits are one class.
 """
 
 from __future__ import annotations
@@ -74,24 +75,41 @@ def need(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // 100)
 
 
+#: Seeds tried until no two sets share a key; checks are formed with one beyond.
+SEEDS = 8
 COLD, COUNT, LIST = range(3)
 SHARED = "bucket int, kind byte, classes binary, sizes binary, counts binary, grams binary, classes_with binary"
 
 
-def set_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n_shingles, class (null for texts without words) of every row."""
+def set_table(df: DataFrame, id_col: str, text_col: str, width: int, seed: int = 0) -> DataFrame:
+    """id, n_shingles, class and check (null for texts without words) of every row."""
+    names, kinds = ["id", "n_shingles", "class", "check"], [pa.int64()] * 4
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_runs(batch.column(1)):
                 sets = shingle_sets(texts, width)
-                yield _rows(["id", "n_shingles", "class"], [pa.int64(), pa.int64(), pa.int64()], [batch.column(0)[a:b].cast(pa.int64()), [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets]])
+                classes, checks = ([set_key(s, k) if len(s) else None for s in sets] for k in (seed, SEEDS))
+                yield _rows(names, kinds, [batch.column(0)[a:b].cast(pa.int64()), [len(s) for s in sets], classes, checks])
         give_back()
 
-    return df.select(id_col, text_col).mapInArrow(keys, "id long, n_shingles long, class long")
+    return df.select(id_col, text_col).mapInArrow(keys, "id long, n_shingles long, class long, check long")
 
 
-def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
+def _classes(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """The set table, its classes with their least ids, and the first seed whose keys tell all sets apart."""
+    for seed in range(SEEDS):
+        rows = materialize(set_table(df, id_col, text_col, width, seed), "sets")
+        found = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.min("check").alias("check"), F.max("check").alias("other"))
+        classes = materialize(found, "classes")
+        if classes.where(F.col("check") != F.col("other")).isEmpty():
+            return rows.drop("check"), classes.select("class", "least"), seed
+        release_table(rows)
+        release_table(classes)
+    raise RuntimeError(f"different sets share a key under each of {SEEDS} seeds")
+
+
+def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int, seed: int = 0) -> DataFrame:
     """Shingles of each class once for each partition and batch, packed by bucket.
 
     Rows of COLD hold classes and their shingles. Rows of COUNT hold hot shingles, with how many classes have
@@ -146,7 +164,7 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int) -> Dat
         for batch in batches:
             for _, _, texts in text_runs(batch.column(0)):
                 for s in shingle_sets(texts, width):
-                    if len(s) and (key := set_key(s)) not in seen:
+                    if len(s) and (key := set_key(s, seed)) not in seen:
                         seen.add(key)
                         held.append((key, s))
                         total += len(s)
@@ -421,16 +439,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an empty set and link with nothing, not even each other. Rows that repeat an id are rows of their own.
     A null id never becomes the id of a component with others. An empty table gives no rows.
     """
-    rows = materialize(set_table(df, id_col, text_col, width), "sets")
+    rows, classes, seed = _classes(df, id_col, text_col, width)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_GRAMS))
-    shared = _shared_grams(_packed_grams(df, text_col, width, buckets), buckets)
+    shared = _shared_grams(_packed_grams(df, text_col, width, buckets, seed), buckets)
     sets = materialize(_candidate_sets(_with_hot(shared, buckets), percent, buckets), "candidates")
     release_table(shared)
     groups = connected_components(_candidate_links(sets, percent))
     labels = connected_components(_links(sets, groups, percent))
     release_table(sets)
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     named = materialize(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "classes")
     least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = materialize(named.join(least, "label").select("class", "component_id"), "classes")

@@ -97,8 +97,9 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return sets
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """A signed 64-bit key that equal sets share, whatever their order."""
+def set_key(shingles: np.ndarray, seed: int = 0) -> int:
+    """A signed 64-bit key that equal sets share, whatever their order. Keys of two seeds are independent."""
+    salt = mix(np.array([0x5851F42D4C957F2D + seed], np.uint64))
     with np.errstate(over="ignore"):
-        total = mix(shingles ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + _U(len(shingles))
+        total = mix(shingles ^ salt).sum(dtype=np.uint64, keepdims=True) + _U(len(shingles))
     return int(mix(total).view(np.int64)[0])

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.llm import ngram_join
 from lamella.llm.ngram_join import jaccard_components
@@ -98,3 +99,21 @@ def test_shingles_of_every_document_in_any_batch(spark, monkeypatch, hot):
     texts |= {10**10 + i: t for i, t in enumerate(list(texts.values())[::3])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     assert result(jaccard_components(df)) == brute_force(texts)
+
+
+def test_sets_that_share_a_key_are_told_apart(spark, monkeypatch):
+    """Keys of two bits coincide under the first seeds; the checks find that, and another seed is taken."""
+    texts = near_copies(5, 40, 4)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    honest = ngram_join.set_table
+
+    def short_keys(df, id_col, text_col, width, seed=0):
+        found = honest(df, id_col, text_col, width, seed)
+        return found.withColumn("class", F.col("class") % 4) if seed < 2 else found
+
+    monkeypatch.setattr(ngram_join, "set_table", short_keys)
+    assert ngram_join._classes(df, "doc_id", "text", 5)[2] == 2
+    assert result(jaccard_components(df)) == brute_force(texts)
+    monkeypatch.setattr(ngram_join, "SEEDS", 2)
+    with pytest.raises(RuntimeError, match="share a key"):
+        jaccard_components(df)
