@@ -3,8 +3,11 @@
 Overlaps are products of the sparse incidence matrix (texts by shingles) with its transpose, computed in
 blocks. Bounds from the set sizes keep the blocks small, and lose no pair:
 
-1. Texts with equal sets are one class; links are sought between classes.
-2. Shingles go, as packed bytes, to buckets by hash, where those that only one class has are dropped.
+1. Texts with equal sets are one class; links are sought between classes. Of each class only the shingles
+   first in the order of their hashes are compared at first, in a few bytes each: a linked class shares a
+   least number of these (`ahead`). Classes that share fewer have no link. The others are made a bit filter,
+   which lets some more pass but none of them be lost.
+2. Shingles of these go, as packed bytes, to buckets by hash, where those that only one class has are dropped.
    Of a shingle that HOT classes of one batch share, a bucket gets only their number: their list goes
    elsewhere, spread over all tasks, and meets the count of the shingle in a join, so that no shingle
    gathers its classes in one task. A class with fewer shared shingles than the bound on its overlap has
@@ -46,6 +49,11 @@ HOT = 16
 BLOCK_ROWS, BLOCK_BYTES = 2048, 64 << 20
 HUBS = 64
 DENSE = 48
+#: Of a set, the share of shingles that is sent ahead beyond the least that two linked sets must meet in. More
+#: of them cost bytes for every text, and leave fewer texts whose shingles are all sent.
+AHEAD = 10
+#: Bits of a segment of the filter, bits for each class, those set for each, and segments at most.
+SEGMENT_BITS, CLASS_BITS, PROBES, SEGMENTS = 1 << 20, 16, 4, 256
 
 
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
@@ -75,6 +83,18 @@ def need(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // 100)
 
 
+def ahead(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its least shingles a set of this size sends ahead, and how many of them a linked set sends too.
+
+    Of the overlap of two linked sets, the k-th least shingle is among the n - need + k least of each. A set
+    sends so many for its own k, which grows with n; a linked set has need shingles at least, so its k is not
+    below that of need.
+    """
+    k = lambda n: np.maximum(1, np.minimum(need(n, percent), -(-AHEAD * n // 100)))
+    least = need(sizes, percent)
+    return np.minimum(sizes, sizes - least + k(sizes)), k(least)
+
+
 #: Seeds tried until no two sets share a key; checks are formed with one beyond.
 SEEDS = 8
 COLD, COUNT, LIST = range(3)
@@ -97,20 +117,177 @@ def set_table(df: DataFrame, id_col: str, text_col: str, width: int, seed: int =
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, int]:
-    """The set table, its classes with their least ids, and the first seed whose keys tell all sets apart."""
+    """The set table, its classes with their least ids, sizes and copies, and the first seed whose keys tell all sets apart."""
     for seed in range(SEEDS):
         rows = materialize(set_table(df, id_col, text_col, width, seed), "sets")
-        found = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.min("check").alias("check"), F.max("check").alias("other"))
+        found = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.min("check").alias("check"), F.max("check").alias("other"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
         classes = materialize(found, "classes")
         if classes.where(F.col("check") != F.col("other")).isEmpty():
-            return rows.drop("check"), classes.select("class", "least"), seed
+            return rows.drop("check"), classes.select("class", "least", "n", "copies"), seed
         release_table(rows)
         release_table(classes)
     raise RuntimeError(f"different sets share a key under each of {SEEDS} seeds")
 
 
-def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int, seed: int = 0) -> DataFrame:
-    """Shingles of each class once for each partition and batch, packed by bucket.
+#: Bytes of a shingle and of a class that are sent ahead, and the tag of a shingle that several classes of a batch have.
+SHORT_BYTES, TAG_BYTES, MANY = 4, 5, 0
+
+
+def _tag(classes, size: int):
+    """From 1 on: a class in so many bytes. For columns and arrays."""
+    n = (1 << 8 * size) - 1
+    return classes % n + 1 if isinstance(classes, np.ndarray) else F.pmod(classes, F.lit(n)) + 1
+
+
+def _cut(values: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _whole(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :n] = raw
+    return out.view("<u8").ravel()
+
+
+def _met(df: DataFrame, text_col: str, width: int, percent: int, buckets: int, seed: int = 0) -> DataFrame:
+    """tag, met: of the shingles that classes send ahead, how many some other class sends too; in parts, to be summed.
+
+    Bytes cut from shingles and copies of a text in several tasks can only make the numbers too great. A
+    batch counts what several of its classes have itself, and sends one such shingle for all of them.
+    """
+    names, kinds = ["bucket", "tags", "grams", "met"], [pa.int32(), *[pa.binary()] * 3]
+
+    def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[int, np.ndarray]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            tags = _tag(np.array([k for k, _ in held], np.int64), TAG_BYTES)
+            owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+            # the least shingles are spread over all buckets, which follow the order of the mixed ones
+            grams = mix(np.concatenate([s for _, s in held])) if held else np.zeros(0, np.uint64)
+            order = np.argsort(grams)
+            grams, owner = grams[order], owner[order]
+            place = _bucket(grams, buckets)
+            short = grams & np.uint64((1 << 8 * SHORT_BYTES) - 1)
+            first, with_ = _runs(grams)
+            many = with_ > 1
+            met = np.bincount(owner[_ragged(first[many], with_[many])], minlength=len(held)).astype(np.int64)
+            # shingles of one class that look alike would be counted once: it meets as many as it has
+            alike = np.lexsort((short, place, owner))
+            same = np.flatnonzero((short[alike[1:]] == short[alike[:-1]]) & (place[alike[1:]] == place[alike[:-1]]) & (owner[alike[1:]] == owner[alike[:-1]]))
+            twice = owner[alike[same]]
+            met[twice] = np.bincount(owner, minlength=len(held))[twice]
+            tag, place, short = np.where(many, MANY, tags[owner[first]]), place[first], short[first]
+            out: list[list] = [[] for _ in names]
+            for start, n in zip(*_runs(place), strict=True):
+                part = slice(start, start + n)
+                for column, value in zip(out, (int(place[start]), _cut(tag[part], TAG_BYTES), _cut(short[part], SHORT_BYTES), b""), strict=True):
+                    column.append(value)
+            if met.any():
+                spread = int(mix(tags[:1].view(np.uint64))[0] % np.uint64(buckets))
+                for column, value in zip(out, (spread, _cut(tags[met > 0], TAG_BYTES), b"", met[met > 0].tobytes()), strict=True):
+                    column.append(value)
+            return _rows(names, kinds, out)
+
+        for batch in batches:
+            for _, _, texts in text_runs(batch.column(0)):
+                sets = shingle_sets(texts, width)
+                lengths = ahead(np.array([len(s) for s in sets], np.int64), percent)[0].tolist()
+                for s, n in zip(sets, lengths, strict=True):
+                    if len(s) and (key := set_key(s, seed)) not in seen:
+                        seen.add(key)
+                        held.append((key, s[:n].copy()))
+                        total += n
+                if total > PACKED_GRAMS:
+                    yield flush()
+                    held, total = [], 0
+        yield flush()
+        give_back()
+
+    def counted(table: pa.Table) -> pa.Table:
+        give_back()
+        is_counts = np.array([len(x) > 0 for x in table.column("met").to_pylist()], bool)
+        counts, table = table.filter(pa.array(is_counts)), table.filter(pa.array(~is_counts))
+        short, tags = _whole(table.column("grams"), SHORT_BYTES), _whole(table.column("tags"), TAG_BYTES)
+        order = np.lexsort((tags, short))
+        short, tags = short[order], tags[order]
+        new = np.ones(len(short), bool)
+        new[1:] = (short[1:] != short[:-1]) | (tags[1:] != tags[:-1])
+        short, tags = short[new], tags[new]
+        first, lengths = _runs(short)
+        tags = tags[_ragged(first[lengths > 1], lengths[lengths > 1])]
+        tags, met = np.unique(tags[tags != MANY], return_counts=True)
+        before, (number,) = _whole(counts.column("tags"), TAG_BYTES), _unpack(counts, {"met": "<i8"})
+        return pa.Table.from_batches([_rows(["tag", "met"], [pa.int64()] * 2, [np.concatenate([tags, before]).view(np.int64), np.concatenate([met, number])])])
+
+    packed = df.select(text_col).mapInArrow(sent, "bucket int, tags binary, grams binary, met binary")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(counted, "tag long, met long")
+
+
+def _near(classes: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """class, n, copies of all classes that can have links, a table in the shared folder."""
+
+    def enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = ahead(batch.column(1).to_numpy(), percent)[1]
+            yield batch.filter(pa.array(batch.column(3).to_numpy() >= least)).select([0, 1, 2])
+
+    tagged = classes.select("class", "n", "copies", _tag(F.col("class"), TAG_BYTES).alias("tag"))
+    met = met.groupBy("tag").agg(F.sum("met").alias("met"))
+    found = tagged.join(met, "tag").select("class", "n", "copies", "met").mapInArrow(enough, "class long, n long, copies long")
+    # classes of one tag can't be told apart there
+    alike = tagged.groupBy("tag").agg(F.count("*").alias("k")).where("k > 1").select("tag")
+    return materialize(found.unionByName(tagged.join(alike, "tag").select("class", "n", "copies")), "near")
+
+
+class ClassFilter:
+    """Bits that tell of any class of a table that it is there, and of a few others too. At most SEGMENTS segments."""
+
+    def __init__(self, near: DataFrame, rows: int):
+        self.segments = max(1, min(SEGMENTS, -(-rows * CLASS_BITS // SEGMENT_BITS)))
+        self.bits = np.zeros((self.segments, SEGMENT_BITS // 8), np.uint8)
+        segments = self.segments
+
+        def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _rows(["segment", "class"], [pa.int64()] * 2, [ClassFilter.segment(batch.column(0).to_numpy(), segments), batch.column(0)])
+
+        def filled(key: tuple, table: pa.Table) -> pa.Table:
+            bits = np.zeros(SEGMENT_BITS, bool)
+            for at in ClassFilter.places(table.column("class").to_numpy()):
+                bits[at] = True
+            return pa.Table.from_batches([_rows(["segment", "bits"], [pa.int64(), pa.binary()], [[key[0].as_py()], [np.packbits(bits, bitorder="little").tobytes()]])])
+
+        for r in near.select("class").mapInArrow(placed, "segment long, class long").groupBy("segment").applyInArrow(filled, "segment long, bits binary").collect():
+            self.bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+
+    @staticmethod
+    def segment(classes: np.ndarray, segments: int) -> np.ndarray:
+        return _bucket(mix(classes.view(np.uint64)), segments).astype(np.int64)
+
+    @staticmethod
+    def places(classes: np.ndarray) -> Iterator[np.ndarray]:
+        at = mix(classes.view(np.uint64))
+        for _ in range(PROBES):
+            at = mix(at + np.uint64(0x9E3779B97F4A7C15))
+            yield (at & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+
+    def holds(self, classes: np.ndarray) -> np.ndarray:
+        segment, found = ClassFilter.segment(classes, self.segments), np.ones(len(classes), bool)
+        for at in ClassFilter.places(classes):
+            found &= (self.bits[segment, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+    def false_share(self) -> float:
+        """The share of other classes that it lets pass."""
+        return float(np.bitwise_count(self.bits).sum() / (self.bits.size * 8)) ** PROBES
+
+
+def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int, among: ClassFilter, seed: int = 0) -> DataFrame:
+    """Shingles of each class that the filter holds, once for each partition and batch, packed by bucket.
 
     Rows of COLD hold classes and their shingles. Rows of COUNT hold hot shingles, with how many classes have
     each in counts. Rows of LIST hold one hot shingle and its classes, in any bucket.
@@ -163,8 +340,11 @@ def _packed_grams(df: DataFrame, text_col: str, width: int, buckets: int, seed:
 
         for batch in batches:
             for _, _, texts in text_runs(batch.column(0)):
-                for s in shingle_sets(texts, width):
-                    if len(s) and (key := set_key(s, seed)) not in seen:
+                sets = [s for s in shingle_sets(texts, width) if len(s)]
+                keys = np.array([set_key(s, seed) for s in sets], np.int64)
+                for i in np.flatnonzero(among.holds(keys)).tolist():
+                    if (key := int(keys[i])) not in seen:
+                        s = sets[i]
                         seen.add(key)
                         held.append((key, s))
                         total += len(s)
@@ -432,7 +612,7 @@ def _links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles, component_id for each row of df; df is read twice and nothing else of it is.
+    """id_col, n_shingles, component_id for each row of df; df is read three times and nothing else of it is.
 
     Rows link when their sets of `width`-word shingles have a Jaccard similarity of percent/100 or more;
     component_id is the smallest id reachable by links. Texts that are null, empty or without words have
@@ -440,15 +620,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null id never becomes the id of a component with others. An empty table gives no rows.
     """
     rows, classes, seed = _classes(df, id_col, text_col, width)
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_GRAMS))
-    shared = _shared_grams(_packed_grams(df, text_col, width, buckets, seed), buckets)
+    total, texts = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("class")).first()
+    first = min(total, total * (100 - percent + AHEAD) // 100 + 2 * texts)
+    met = _met(df, text_col, width, percent, max(16, -(-first // BUCKET_GRAMS)), seed)
+    near = _near(classes, met, percent)
+    found = near.agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.col("copies")).alias("grams")).first()
+    among = ClassFilter(near, found["rows"])
+    release_table(near)
+    passing = (found["grams"] or 0) + int(total * among.false_share())
+    buckets = max(16, -(-passing // BUCKET_GRAMS))
+    shared = _shared_grams(_packed_grams(df, text_col, width, buckets, among, seed), buckets)
     sets = materialize(_candidate_sets(_with_hot(shared, buckets), percent, buckets), "candidates")
     release_table(shared)
     groups = connected_components(_candidate_links(sets, percent))
     labels = connected_components(_links(sets, groups, percent))
     release_table(sets)
-    named = materialize(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "classes")
+    named = materialize(classes.select("class", "least").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "classes")
     least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = materialize(named.join(least, "label").select("class", "component_id"), "classes")
     with_words = rows.where("class is not null").join(named, "class")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,62 @@ def test_sets_that_share_a_key_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SEEDS", 2)
     with pytest.raises(RuntimeError, match="share a key"):
         jaccard_components(df)
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_bytes_shuffled_for_a_shingle_when_buckets_are_many(spark, monkeypatch, tmp_path):
+    """As in large inputs: nearly every shingle of a text is in a bucket of its own. No key goes with each of them."""
+    monkeypatch.setattr(ngram_join, "BUCKET_GRAMS", 1000)
+    r = random.Random(1)
+    texts = near_copies(7, 10, 4) | {10**10 + i: " ".join(f"w{r.randrange(10**5)}" for _ in range(104)) for i in range(2000)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    df = spark.read.parquet(str(tmp_path / "texts"))
+    before = shuffled_bytes(spark)
+    got = jaccard_components(df)
+    after = shuffled_bytes(spark)
+    assert sum(n for k, n in after.items() if k not in before) < 8 * 100 * 2000
+    assert result(got) == brute_force(texts)
+
+
+@pytest.mark.parametrize("percent", [100, 80, 55, 10])
+def test_linked_sets_meet_in_what_they_send_ahead(percent):
+    r = random.Random(percent)
+    met = 0
+    for _ in range(4000):
+        common, of_a, of_b = r.randrange(1, 60), r.choice([0, 1, 2, 9, 40]), r.choice([0, 1, 2, 9, 40])
+        grams = r.sample(range(10**6), common + of_a + of_b)
+        if 100 * common >= percent * len(grams):
+            a, b = sorted(grams[: common + of_a]), sorted(grams[:common] + grams[common + of_a :])
+            (p, q), least = ngram_join.ahead(np.array([len(a), len(b)]), percent)
+            shared = len(set(a[:p]) & set(b[:q]))
+            assert shared >= max(least)
+            met += 1
+    assert met > 100
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_bytes_cut_from_shingles_and_classes_lose_no_link(spark, monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "SHORT_BYTES", size)
+    monkeypatch.setattr(ngram_join, "TAG_BYTES", size)
+    monkeypatch.setattr(ngram_join, "PACKED_GRAMS", 2000)
+    texts = near_copies(13, 60, 12)
+    texts |= {10**10 + i: t for i, t in enumerate(list(texts.values())[::3])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    assert result(jaccard_components(df)) == brute_force(texts)
+
+
+def test_filter_holds_every_class(spark):
+    classes = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 300_000)
+    near = spark.createDataFrame([(int(x),) for x in classes[:100_000]], "class long")
+    among = ngram_join.ClassFilter(near, 100_000)
+    assert among.segments == 2
+    assert among.holds(classes[:100_000]).all()
+    passing = among.holds(classes[100_000:]).mean()
+    assert passing < 0.01
+    assert abs(passing - among.false_share()) < 0.002
