@@ -154,7 +154,7 @@ def write_arrow(df: DataFrame, path: str, options: ArrowOptions = ArrowOptions()
     held_bytes = max(1, min(options.row_group_bytes, options.file_bytes // 4))
     order = [(schema.names.index(n), d, f) for n, d, f in options.sorting]
 
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterable[pa.RecordBatch], empty: bool = False) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
@@ -199,7 +199,7 @@ def write_arrow(df: DataFrame, path: str, options: ArrowOptions = ArrowOptions()
                     held, size = [], 0
                     if stream.tell() >= options.file_bytes:
                         close()
-        if held or (part == 0 and not done and writer is None):
+        if held or empty:
             put(pa.Table.from_batches(held).cast(schema) if held else schema.empty_table())
         if writer is not None:
             close()
@@ -221,8 +221,8 @@ def write_arrow(df: DataFrame, path: str, options: ArrowOptions = ArrowOptions()
             yield batch.select(["name", "rows", "bytes"])
 
     manifest = materialize(df.mapInArrow(write, MANIFEST), "manifest")
-    if manifest.isEmpty():  # no task has run, as a table without partitions has none
-        manifest = materialize(spark.range(1).coalesce(1).mapInArrow(lambda batches: write(iter(())), MANIFEST), "manifest")
+    if manifest.isEmpty():  # no task had rows; which of them has is known only now
+        manifest = materialize(spark.range(1).coalesce(1).mapInArrow(lambda batches: write(iter(()), True), MANIFEST), "manifest")
     moved = materialize(manifest.repartition(max(1, min(manifest.count(), 64))).mapInArrow(give_names, "name string, rows long, bytes long"), "files")
     release(spark, f"{uri}/{aside}")
     spark.catalog.refreshByPath(path)
