@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 
 from lamella.operators.arrow_sink import write_arrow
+from lamella.operators.sink import WriteOptions, write_table
+from lamella.plans.contract import column, contract
+from lamella.plans.pruning import bloom_lookup, bloom_report
+from lamella.queries import QUERIES
 from lamella.sources.relations import relation
 
 
@@ -19,3 +23,18 @@ def test_chunks_without_values_have_no_pages(spark, tmp_path):
     assert relation(spark, "files", str(tmp_path / "t")).count() == 1
     assert relation(spark, "page_headers", str(tmp_path / "t")).count() == 0
     assert relation(spark, "pages", str(tmp_path / "t")).count() == 0
+
+
+def test_keys_are_not_found_where_a_filter_errs(spark, tmp_path):
+    path = str(tmp_path / "full")
+    wanted = contract(column("id", "long?", bloom=True, bloom_ndv=100, encodings=("PLAIN",)))
+    write_table(spark.range(0, 20_000, 1, 2), path, WriteOptions(), wanted)
+    assert bloom_report(spark, "id", -1, path).agg(F.bool_or("might_contain")).first()[0]
+    assert sorted(r.id for r in bloom_lookup(spark, "id", (-1, 7, 19_999, 20_000), path).collect()) == [7, 19_999]
+
+
+def test_bloom_probe_of_more_keys_than_its_filters_are_for(spark, tmp_path):
+    orders = spark.range(0, 2_000_000, 1, 2).selectExpr("id as o_orderkey", "1.5D as o_totalprice")
+    orders.unionByName(orders.where("o_orderkey = 3")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r.key, r.found) for r in QUERIES["bloom_probe"](spark, str(tmp_path)).collect())
+    assert got == [(-1, False), (1, True), (3, True), (3, True), (5, True)]
