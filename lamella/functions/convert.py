@@ -150,7 +150,38 @@ def float16_to_float(b: Column) -> Column:
     return (sign * value).cast("float")
 
 
+def _little(x: Column, n: int) -> Column:
+    """The low n bytes of a whole number as hexadecimal digits, low bytes first."""
+    return F.concat(*(F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(n)))
+
+
+def interval_bytes(months: Column, days: Column, millis: Column) -> Column:
+    """Twelve bytes, low bytes first; fails where a part has no place in 32 bits without a sign."""
+    fits = F.lit(True)
+    for x in (months, days, millis):
+        fits = fits & (x >= 0) & (x < 1 << 32)
+    packed = F.unhex(F.concat(*(_little(x.cast("long"), 4) for x in (months, days, millis))))
+    return F.when(fits, packed).when(fits.isNotNull(), F.raise_error(F.lit("a part of an interval has no place in 32 bits")).cast("binary"))
+
+
 def interval_parts(b: Column) -> Column:
     """months, days and milliseconds of twelve bytes, low bytes first."""
     part = lambda at: sum(_byte(b, at + k).cast("long") * (1 << 8 * k) for k in range(4))
     return F.when(b.isNotNull(), F.struct(part(1).alias("months"), part(5).alias("days"), part(9).alias("millis")))
+
+
+def wide_interval(months: Column, days: Column, millis: Column) -> Column:
+    """Parts of up to 63 bits as two intervals: low holds the low 32 bits of each part and high, which is null
+    if they suffice, how often each holds 2^32. low alone is the interval wherever the format has it.
+    """
+    parts = [x.cast("long") for x in (months, days, millis)]
+    low = interval_bytes(*(F.when(x < 0, x).otherwise(x.bitwiseAND(F.lit(0xFFFFFFFF))) for x in parts))
+    beyond = [F.shiftright(x, 32) for x in parts]
+    return F.struct(low.alias("low"), F.when(F.greatest(*beyond) > 0, interval_bytes(*beyond)).alias("high"))
+
+
+def wide_interval_parts(x: Column) -> Column:
+    """months, days and milliseconds of what wide_interval made."""
+    low, high = interval_parts(x["low"]), interval_parts(x["high"])
+    part = lambda name: (low[name] + F.coalesce(high[name], F.lit(0)) * (1 << 32)).alias(name)
+    return F.when(x["low"].isNotNull(), F.struct(part("months"), part("days"), part("millis")))

@@ -1,7 +1,9 @@
 """What shows only in tables of several tasks, row groups or files."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from lamella.functions import convert
 from lamella.operators.arrow_sink import write_arrow
 from lamella.operators.sink import WriteOptions, write_table
 from lamella.plans.contract import column, contract
@@ -38,3 +40,23 @@ def test_bloom_probe_of_more_keys_than_its_filters_are_for(spark, tmp_path):
     orders.unionByName(orders.where("o_orderkey = 3")).write.parquet(str(tmp_path / "orders.parquet"))
     got = sorted((r.key, r.found) for r in QUERIES["bloom_probe"](spark, str(tmp_path)).collect())
     assert got == [(-1, False), (1, True), (3, True), (3, True), (5, True)]
+
+
+def test_intervals_beyond_32_bits(spark, tmp_path):
+    ids = [0, 1, 4_294_967, 4_294_968, 5_999_999, 4_294_967_296, 2**53]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.months, r.days, r.millis, r.half) for r in QUERIES["convert_interval_and_half"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 100, i % 31, i * 1000, i % 2048 / 16) for i in ids}
+
+
+def test_one_interval_holds_32_bits_of_each_part(spark):
+    x = F.col("x")
+    df = spark.createDataFrame([(0,), (2**32 - 1,), (None,)], "x long")
+    packed = df.select(convert.interval_bytes(F.lit(1), F.lit(258), x).alias("b")).select(F.hex("b").alias("h"), convert.interval_parts(F.col("b")).alias("p")).collect()
+    assert [r.h for r in packed] == ["010000000201000000000000", "0100000002010000FFFFFFFF", None]
+    assert [r.p and tuple(r.p) for r in packed] == [(1, 258, 0), (1, 258, 2**32 - 1), None]
+    for bad in (-1, 2**32):
+        with pytest.raises(Exception, match="32 bits"):
+            spark.createDataFrame([(bad,)], "x long").select(convert.interval_bytes(F.lit(1), F.lit(2), x)).collect()
+    with pytest.raises(Exception, match="32 bits"):
+        spark.createDataFrame([(-1,)], "x long").select(convert.wide_interval(F.lit(1), F.lit(2), x)).collect()
