@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import convert
 from lamella.operators.arrow_sink import write_arrow
+from lamella.operators.compaction import compact, in_order, merge
 from lamella.operators.sink import WriteOptions, write_table
 from lamella.plans.contract import column, contract
 from lamella.plans.pruning import bloom_lookup, bloom_report
@@ -60,3 +61,36 @@ def test_one_interval_holds_32_bits_of_each_part(spark):
             spark.createDataFrame([(bad,)], "x long").select(convert.interval_bytes(F.lit(1), F.lit(2), x)).collect()
     with pytest.raises(Exception, match="32 bits"):
         spark.createDataFrame([(-1,)], "x long").select(convert.wide_interval(F.lit(1), F.lit(2), x)).collect()
+
+
+MIXED = [
+    "id",
+    "cast(id as string) as s",
+    "cast(id / 8 as decimal(12,3)) as d",
+    "timestamp_micros(id) as t",
+    "cast(timestamp '2020-01-02 03:04:05' as timestamp_ntz) as n",
+    "array(id, null) as l",
+    "map('k', id) as m",
+    "struct(id as a, if(id % 3 = 0, null, 'x') as b) as g",
+    "cast('y' as binary) as y",
+    "date_from_unix_date(cast(id % 9999 as int)) as day",
+]
+
+
+def test_rewriting_into_few_files_sorts_and_shuffles_nothing(spark, tmp_path):
+    from lamella.operators.compaction import _streamed
+
+    paths = [str(tmp_path / f"p{k}") for k in range(2)]
+    for k, p in enumerate(paths):
+        write_table(spark.range(k * 3000, k * 3000 + 3000).selectExpr(*MIXED).repartition(3), p, WriteOptions(row_group_bytes=1 << 12))
+    want = in_order(spark, *paths).orderBy("source", "file_path", "row_index").drop("source", "file_path", "row_index").collect()
+    for files in (1, 4):
+        path = str(tmp_path / f"whole{files}")
+        merge(spark, paths, path, files=files)
+        back = in_order(spark, path)
+        assert back.select("file_path").distinct().count() == files
+        assert back.orderBy("file_path", "row_index").drop("source", "file_path", "row_index").collect() == want
+    compact(spark, path, files=1)
+    assert in_order(spark, path).orderBy("row_index").drop("source", "file_path", "row_index").collect() == want
+    plan = _streamed(spark, paths, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
