@@ -8,7 +8,7 @@ from lamella.operators.arrow_sink import write_arrow
 from lamella.operators.compaction import compact, in_order, merge
 from lamella.operators.sink import WriteOptions, write_table
 from lamella.plans.contract import column, contract
-from lamella.plans.pruning import bloom_lookup, bloom_report
+from lamella.plans.pruning import All, Any, Test, bloom_lookup, bloom_report, count_held
 from lamella.queries import QUERIES
 from lamella.sources.relations import relation
 
@@ -94,3 +94,21 @@ def test_rewriting_into_few_files_sorts_and_shuffles_nothing(spark, tmp_path):
     assert in_order(spark, path).orderBy("row_index").drop("source", "file_path", "row_index").collect() == want
     plan = _streamed(spark, paths, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Exchange" not in plan
+
+
+def test_rows_meet_kept_pages_by_blocks(spark, sf_dir, tmp_path):
+    plan = QUERIES["prune_types"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and "block" in plan  # each file is read once for all tests
+    path = str(tmp_path / "t")
+    df = spark.range(0, 20_000, 1, 2).selectExpr("id", "(id * 7919) % 1000 as x", "if(id % 10 = 0, null, id % 77) as y")
+    write_table(df, path, WriteOptions(row_group_bytes=1 << 14, page_rows=100))
+    tests = {"all": All((Test("id", ">=", 4090), Test("id", "<", 9001), Test("x", "<", 7))), "any": Any((Test("y", "is null"), Test("id", "in", (1, 8191, 8192)))), "none": Test("id", "<", 0)}
+    got = {r.test: r.matching for r in count_held(spark, tests, spark.read.parquet(path), path).collect()}
+    assert got == {name: df.where(t.rows()).count() for name, t in tests.items()} and got["all"] > 0
+
+    class Lossy:  # skips pages that hold matches
+        columns = {"id"}
+        rows = staticmethod(lambda: F.col("id") >= 0)
+        may_match = staticmethod(lambda known: int.from_bytes(known["id"].low, "little") % 3 != 1)
+
+    assert 0 < count_held(spark, {"lossy": Lossy()}, spark.read.parquet(path), path).first()["matching"] < 20_000
