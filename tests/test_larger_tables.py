@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lamella.functions import convert
 from lamella.operators.arrow_sink import write_arrow
 from lamella.operators.compaction import compact, in_order, merge
+from lamella.operators.dataset import write_dataset
 from lamella.operators.sink import WriteOptions, write_table
 from lamella.plans.contract import column, contract
 from lamella.plans.pruning import All, Any, Test, bloom_lookup, bloom_report, count_held
@@ -112,3 +113,15 @@ def test_rows_meet_kept_pages_by_blocks(spark, sf_dir, tmp_path):
         may_match = staticmethod(lambda known: int.from_bytes(known["id"].low, "little") % 3 != 1)
 
     assert 0 < count_held(spark, {"lossy": Lossy()}, spark.read.parquet(path), path).first()["matching"] < 20_000
+
+
+def test_files_of_a_route_are_full_and_dealt_over_tasks(spark, tmp_path):
+    path = str(tmp_path / "d")
+    rows = spark.range(0, 9000, 1, 4).selectExpr("id", "if(id % 9 = 0, 'rare', 'hot') as r")
+    write_dataset(rows, path, F.col("r"), order=("id",), max_rows=300)
+    found = spark.read.parquet(path).select("part", "r", "id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).collect()
+    assert sorted(x.id for x in found) == list(range(9000)) and all(x.part == x.r for x in found)
+    files = {f: [x.id for x in sorted((x for x in found if x.f == f), key=lambda x: x.i)] for f in {x.f for x in found}}
+    assert sorted(map(len, files.values())) == [100, 200] + [300] * 29 and all(v == sorted(v) for v in files.values())
+    hot = {f.rpartition("/")[2].split("-")[1] for f in files if "part=hot" in f}
+    assert len(hot) > 1  # tasks
